@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,14 @@ from punctuo.llm.shingles import WordHashes, mixed, set_hash, shingle_set
 UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Bands up to this size index every segment with its one-deletion neighbours; see :func:`signatures`.
 SMALL_BAND = 12
+#: Signatures that cost most: those met at least HOT_SETS times, and of these the HOT_KEPT most frequent (8 bytes each
+#: go to every task).  They only steer which segments are indexed; results do not depend on them.
+HOT_SETS, HOT_KEPT = 24, 200_000
+NONE = np.zeros(0, np.uint64)
+#: Up to this many (set, document) ids are broadcast (16 bytes each).
+BROADCAST_IDS = 200_000
+#: A signature with more sets than LARGE is compared in blocks of about BLOCK.
+LARGE, BLOCK = 32, 256
 
 
 def bands(size: int) -> list[tuple[int, int]]:
@@ -30,7 +39,7 @@ def bands(size: int) -> list[tuple[int, int]]:
     return [(i, max(1, math.floor(4 * 3.0**i))) for i in range(j, j + 4) if 3.0**i < size <= 4 * 3.0**i]
 
 
-def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
+def signatures(shingles: np.ndarray, percent: int, hot: np.ndarray = NONE) -> np.ndarray:
     """Hashes of which two linked sets share at least one.
 
     Linked sets differ by at most H = (100 - p)(s + t) / (100 + p) shingles.  In each of its size bands the universe is
@@ -38,10 +47,10 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
 
     * Small bands take m = (H + 1) / 2 segments and allow one difference in each: the segment's subset and its
       one-deletion neighbours are indexed.
-    * Larger bands take m well above H + 1 and allocate nothing to the segments that cost most.  Few tokens select
-      badly, so the cost order is by fewer tokens, then by hash: an order that both sets share.  With z non-empty
-      segments, the H + 1 cheapest always hold one that agrees; a set with z <= H also indexes a common mark, for
-      pairs that agree on empty segments alone.
+    * Larger bands take m well above H + 1 and allocate nothing to the segments that cost most: first those whose
+      signature is in ``hot`` (sorted), as many sets have it, then those with the fewest tokens, then by hash.  That
+      order is the same for both sets.  With z non-empty segments, the H + 1 cheapest always hold one that agrees,
+      whatever ``hot`` is; a set with z <= H also indexes a common mark, for pairs that agree on empty segments alone.
     """
     size, out = len(shingles), []
     if not size:
@@ -62,7 +71,8 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
         found = mixed(np.add.reduceat(shingles[order], start) + salt[number])
         partner = min(largest, size * 100 // percent)
         differ = (100 - percent) * (size + partner) // (100 + percent)
-        out.append(found[np.lexsort((found, -count))[: differ + 1]])
+        common = hot[np.searchsorted(hot, found) % len(hot)] == found if len(hot) else np.zeros(len(found), bool)
+        out.append(found[np.lexsort((found, -count, common))[: differ + 1]])
         if len(number) <= differ:
             out.append(mixed(np.array([band + 64], np.uint64)))
     return np.unique(np.concatenate(out))
@@ -78,33 +88,89 @@ def _set(text: str | None, known: WordHashes, n: int) -> np.ndarray:
     return shingle_set(known.of((text or "").encode().translate(UPPER).split()), n)
 
 
+def _hot(docs: DataFrame, text_col: str, n: int, percent: int) -> np.ndarray:
+    """The most frequent signatures, from all documents: what a lot of them has twice is summed over all lots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for b in _batches(batches, 4000):
+            sets = {int(set_hash(x)): x for x in (_set(t, known, n) for t in b.column(0).to_pylist())}
+            found = np.concatenate([NONE, *(signatures(x, percent) for x in sets.values())])
+            value, count = np.unique(found, return_counts=True)
+            more = count > 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(value[more].view(np.int64)), pa.array(count[more].astype(np.int64))], names=["s", "n"]
+            )
+
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "s long, n long").groupBy("s")
+    top = counted.agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT_SETS).orderBy(F.desc("n"), "s").limit(HOT_KEPT)
+    return np.sort(top.select("s").toArrow()["s"].to_numpy().astype(np.int64).view(np.uint64))
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """Shingles by bucket, 4 to 8 a bucket on average; the number of buckets is a power of two."""
+    buckets = 1 << max(2, math.ceil(math.log2(max(1, len(shingles)) / 8)))
+    at = (mixed(shingles + np.uint64(11)) & np.uint64(buckets - 1)).astype(np.int64)
+    return np.bincount(at, minlength=buckets).astype("<u2").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """No two sets with these sketches differ by fewer shingles."""
+    a, b = np.frombuffer(x, "<u2").astype(np.int64), np.frombuffer(y, "<u2").astype(np.int64)
+    few = min(len(a), len(b))
+    return int(np.abs(a.reshape(-1, few).sum(axis=0) - b.reshape(-1, few).sum(axis=0)).sum())
+
+
 def _indexed(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    hot = _hot(docs, text_col, n, percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = WordHashes(), set()
         for b in _batches(batches):
-            sizes, sets, found = [], [], []
+            sizes, sets, sketches, found = [], [], [], []
             for text in b.column(1).to_pylist():
                 shingles = _set(text, known, n)
                 own = int(set_hash(shingles))
                 sizes.append(len(shingles))
                 sets.append(own)
+                sketches.append(sketch(shingles))
                 # An equal set of the same task adds no signatures.
-                found.append(signatures(shingles, percent).view(np.int64) if own not in seen else np.zeros(0, np.int64))
+                found.append(NONE if own in seen else signatures(shingles, percent, hot))
                 seen.add(own)
             if len(seen) > 500_000:
                 seen.clear()
             offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([NONE, *found]).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.int64()), lists],
-                names=["doc_id", "n_shingles", "set_id", "found"],
-            )
+                [
+                    b.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.int64()),
+                    pa.array(sketches, pa.binary()), lists,
+                ],
+                names=["doc_id", "n_shingles", "set_id", "sketch", "found"],
+            )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, n_shingles long, set_id long, found array<long>"
+        run, "doc_id long, n_shingles long, set_id long, sketch binary, found array<long>"
     )
 
 
+def _promising(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (a, b: set ids) without those whose sizes and sketches rule a link out."""
+    left = sets.select(F.col("set_id").alias("a"), F.col("size").alias("size_a"), F.col("sketch").alias("sketch_a"))
+    right = sets.select(F.col("set_id").alias("b"), F.col("size").alias("size_b"), F.col("sketch").alias("sketch_b"))
+    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            most = ((100 - percent) * sums // (100 + percent)).tolist()
+            both = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), most, strict=True)
+            keep = [least_difference(x, y) <= m for x, y, m in both]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Of ``pairs`` (a, b: set ids), those whose Jaccard similarity reaches the threshold, counted in whole numbers."""
     left = texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a"))
@@ -112,13 +178,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     rows = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, last = WordHashes(), (None, None)
+        known, recent = WordHashes(), {}
+
+        def of(own: int, text: str) -> np.ndarray:
+            if own not in recent:
+                if len(recent) >= 2000:
+                    recent.clear()
+                recent[own] = _set(text, known, n)
+            return recent[own]
+
         for batch in _batches(batches, 100):
             keep = []
             for a, b, text_a, text_b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if last[0] != a:
-                    last = (a, _set(text_a, known, n))
-                x, y = last[1], _set(text_b, known, n)
+                x, y = of(a, text_a), of(b, text_b)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * both >= percent * (len(x) + len(y) - both):
                     keep.append((a, b))
@@ -135,9 +207,10 @@ def link(
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
     Equal shingle sets are one set.  Sets that share a signature are compared in two steps: first each with the smallest
-    and the largest set it meets, which joins groups of near copies without listing their pairs; then, for every
-    signature whose sets still lie in several components, every pair across components.  So every link either is found
-    or lies within a component, and component ids are exact.  Shingles and sets are compared by 64-bit hashes.
+    and the largest set it meets, and with the next in hash order, which joins groups of near copies without listing
+    their pairs; then, for every signature whose sets still lie in several components, every pair across components.
+    So every link either is found or lies within a component, and component ids are exact.  Pairs whose sketches
+    differ too much are dropped before their texts are read.  Shingles and sets are compared by 64-bit hashes.
 
     Null, empty and blank texts have no shingles and are their own component.  Texts of under ``n`` words are one
     shingle.  Repeated rows and copies share a component.  Rows with a null doc_id link with nothing and have a null
@@ -152,38 +225,34 @@ def link(
         "signature", "set_id", F.min("set_id").over(group).alias("lo"), F.max("set_id").over(group).alias("hi")
     ).filter("lo <> hi")
     shared = cut(shared.distinct(), "jaccard-shared")
+    meeting = shared.select("set_id").distinct()
+    known = ids.join(meeting, "set_id", "left_semi").groupBy("set_id", F.col("n_shingles").alias("size"), "sketch")
+    known = cut(known.agg(F.min("doc_id").alias("rep")), "jaccard-known")
+    repeated = rows.groupBy("doc_id").count().filter("doc_id is not null and count > 1").limit(1).count() > 0
 
-    # Texts of the sets that meet another one; a repeated doc_id may bring texts of other sets, which are left out.
-    wanted = sets.join(shared.select("set_id").distinct(), "set_id", "left_semi").select("set_id", "rep")
-    source = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    if rows.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        source = _of_set(source.join(wanted, "rep"), n)
-    else:
-        source = source.join(wanted, "rep")
-    texts = cut(source.select("set_id", "text"), "jaccard-texts")
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = cut(_promising(pairs, known, percent), "jaccard-pairs")
+        return cut(_verified(pairs, _texts(docs, id_col, text_col, pairs, known, n, repeated), n, percent), "jaccard-links")
 
     first = shared.groupBy("set_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     first = first.select(F.col("set_id").alias("b"), F.explode(F.array("lo", "hi")).alias("a")).filter("a <> b")
     first = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first = cut(first, "jaccard-first")
-    links = cut(_verified(first, texts, n, percent), "jaccard-links")
-    labels = components(links)
-
-    at = shared.select("signature", "set_id").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
-    at = at.select("signature", "set_id", F.coalesce("component", "set_id").alias("component"))
-    mixed_ones = at.groupBy("signature").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-    open_ones = at.join(mixed_ones.filter("x <> y").select("signature"), "signature")
-    open_ones = cut(open_ones.join(sets.select("set_id", "size"), "set_id"), "jaccard-open")
-    l, r = open_ones.alias("l"), open_ones.alias("r")
-    near = (
-        (F.col("l.signature") == F.col("r.signature"))
-        & (F.col("l.set_id") < F.col("r.set_id"))
-        & (F.col("l.component") != F.col("r.component"))
-        & (100 * F.least("l.size", "r.size") >= percent * F.greatest("l.size", "r.size"))
-    )
-    second = l.join(r, near).select(F.col("l.set_id").alias("a"), F.col("r.set_id").alias("b")).distinct()
-    second = second.join(first, ["a", "b"], "left_anti")
-    links = links.unionByName(_verified(second, texts, n, percent))
+    links = linked(first)
+
+    # Once more with the next set in hash order: a group in which only some pairs are linked becomes one component too.
+    step = Window.partitionBy("signature").orderBy(F.xxhash64("set_id", "signature"))
+    following = _open(shared, links, known).withColumn("b", F.lead("set_id").over(step))
+    following = following.withColumn("other", F.lead("component").over(step)).filter("component <> other")
+    tried = following.select(F.least("set_id", "b").alias("a"), F.greatest("set_id", "b").alias("b")).distinct()
+    tried = cut(tried.join(first, ["a", "b"], "left_anti"), "jaccard-next")
+    links = links.unionByName(linked(tried))
+
+    rest = _open(shared, links, known)
+    second = _few(rest.filter(F.col("sets") <= LARGE), percent)
+    second = second.unionByName(_many(rest.filter(F.col("sets") > LARGE), known, percent)).distinct()
+    second = second.join(first.unionByName(tried), ["a", "b"], "left_anti")
+    links = links.unionByName(linked(second))
 
     labels = components(links).withColumnRenamed("node", "set_id")
     named = sets.join(labels, "set_id", "left").select(
@@ -198,16 +267,85 @@ def link(
     )
 
 
-def _of_set(rows: DataFrame, n: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = WordHashes(), set()
-        for b in _batches(batches):
-            keep = []
-            for own, text in zip(b.column("set_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                keep.append(int(set_hash(_set(text, known, n))) == own)
-            yield b.select(["set_id", "text"]).filter(pa.array(keep))
+def _open(shared: DataFrame, links: DataFrame, known: DataFrame) -> DataFrame:
+    """Members of the signatures whose sets lie in several components: signature, set_id, component, size, sets."""
+    labels = components(links).withColumnRenamed("node", "set_id")
+    at = shared.select("signature", "set_id").join(labels, "set_id", "left")
+    at = at.select("signature", "set_id", F.coalesce("component", "set_id").alias("component"))
+    several = at.groupBy("signature").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("sets")
+    )
+    several = several.filter("x <> y").select("signature", "sets")
+    return cut(at.join(several, "signature").join(known.select("set_id", "size"), "set_id"), "jaccard-open")
 
-    return rows.select("set_id", "text").mapInArrow(run, "set_id long, text string").dropDuplicates(["set_id"])
+
+def _few(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components of small signatures: at most LARGE / 2 for each member."""
+    l, r = members.alias("l"), members.alias("r")
+    near = (
+        (F.col("l.signature") == F.col("r.signature"))
+        & (F.col("l.set_id") < F.col("r.set_id"))
+        & (F.col("l.component") != F.col("r.component"))
+        & (100 * F.least("l.size", "r.size") >= percent * F.greatest("l.size", "r.size"))
+    )
+    return l.join(r, near).select(F.col("l.set_id").alias("a"), F.col("r.set_id").alias("b"))
+
+
+def _many(members: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components of large signatures that sizes and sketches allow.
+
+    Members are dealt to blocks of about BLOCK; two blocks meet in one task, which compares sketches and returns only
+    the pairs that pass, so neither a whole signature nor all its pairs are ever in one place.
+    """
+    blocks = F.ceil(F.col("sets") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("set_id", F.lit(5)), blocks).cast("int")
+    met = members.join(known.select("set_id", "sketch"), "set_id").withColumn("own", own)
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    met = met.select(
+        "signature", "set_id", "component", "size", "sketch", "own",
+        F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+    )
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        sketches = [np.frombuffer(x, "<u2").astype(np.int32) for x in pdf["sketch"]]
+        few = min(map(len, sketches))
+        x = np.array([v.reshape(-1, few).sum(axis=0) for v in sketches])
+        ids, size, home, part = (pdf[c].to_numpy() for c in ("set_id", "size", "component", "own"))
+        same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        out = []
+        for k in range(len(ids)):
+            fit = (home != home[k]) & (100 * np.minimum(size, size[k]) >= percent * np.maximum(size, size[k]))
+            fit &= (ids > ids[k]) if same else (part > part[k])
+            at = np.flatnonzero(fit)
+            most = (100 - percent) * (size[at] + size[k]) // (100 + percent)
+            at = at[np.abs(x[at] - x[k]).sum(axis=1) <= most]
+            out.append(np.column_stack([np.minimum(ids[at], ids[k]), np.maximum(ids[at], ids[k])]))
+        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+
+    return met.groupBy("signature", "i", "j").applyInPandas(compare, "a long, b long")
+
+
+def _texts(
+    docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, known: DataFrame, n: int, repeated: bool
+) -> DataFrame:
+    """One text of each set in ``pairs``: set_id, text.  Few ids are broadcast to the scan; many are joined by shuffle."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    wanted = cut(known.select("set_id", "rep").join(ids, "set_id", "left_semi"), "jaccard-wanted")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(wanted, "rep")
+    rows = rows.select("set_id", "text")
+    if repeated:  # a repeated doc_id may bring texts of other sets
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes = WordHashes()
+            for b in _batches(batches):
+                both = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+                keep = [int(set_hash(_set(text, hashes, n))) == own for own, text in both]
+                yield b.filter(pa.array(keep, pa.bool_()))
+
+        rows = rows.mapInArrow(run, "set_id long, text string").dropDuplicates(["set_id"])
+    return cut(rows, "jaccard-texts")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
