@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from punctuo.plans import links, reports
+from punctuo.views import Views, oracle
+
+_ALL = [*reports.LIST, *links.LIST]
+
+QUERIES = {name: (lambda spark, sf_dir, f=f: f(Views(spark, sf_dir))) for name, f, _ in _ALL}
+ORACLE_SQL = {name: oracle(sql) for name, _, sql in _ALL if sql}
