@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from punctuo.llm.common import cut
@@ -52,25 +52,25 @@ def _anchored(docs: DataFrame, id_col: str, text_col: str, window: int, anchor:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, squeeze = WordHashes(), zstandard.ZstdCompressor(level=3)
         for b in _lots(batches, 500):
-            sizes, digests, texts, parts = [], [], [], ([], [], [])
+            sizes, digests, texts, anchors, counts = [], [], [], [], []
             for text in b.column(1).to_pylist():
                 words = (text or "").encode().split()
                 joined = b" ".join(words)
                 sizes.append(len(words))
                 digests.append(hashlib.sha256(joined).hexdigest())
                 texts.append(squeeze.compress(joined))
-                found, first, count = pieces(known.of(words), window, anchor)
-                for store, x in zip(parts, (found.view(np.int64), first, count), strict=True):
-                    store.append(x)
+                found, _, count = pieces(known.of(words), window, anchor)
+                anchors.append(found.view(np.int64))
+                counts.append(count.astype(np.uint8).tobytes())  # at most window - anchor + 1
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0), pa.array(sizes, pa.int64()), pa.array(digests), pa.array(texts, pa.binary()),
-                    _lists(parts[0], pa.int64()), _lists(parts[1], pa.int32()), _lists(parts[2], pa.int32()),
+                    _lists(anchors, pa.int64()), pa.array(counts, pa.binary()),
                 ],
-                names=["doc_id", "n_words", "digest", "packed", "anchors", "firsts", "counts"],
+                names=["doc_id", "n_words", "digest", "packed", "anchors", "counts"],
             )
 
-    kinds = "doc_id long, n_words long, digest string, packed binary, anchors array<long>, firsts array<int>, counts array<int>"
+    kinds = "doc_id long, n_words long, digest string, packed binary, anchors array<long>, counts binary"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, kinds)
 
 
@@ -81,11 +81,12 @@ def _pieces_of(rows: DataFrame, window: int) -> DataFrame:
         expand = zstandard.ZstdDecompressor()
         for b in _lots(batches, 100):
             out = ([], [], [], [], [], [])
-            for row, doc, packed, found in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for row, doc, packed, counts, found in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 words = expand.decompress(packed).split(b" ")
+                ends = np.cumsum(np.frombuffer(counts, np.uint8), dtype=np.int64).tolist()
                 for x in found:
-                    first = x["first"]
-                    text = b" ".join(words[first : first + x["count"] + window - 1])
+                    first = ends[x["at"]] - counts[x["at"]]
+                    text = b" ".join(words[first : ends[x["at"]] + window - 1])
                     key = xxhash.xxh3_64_intdigest(text) - (1 << 63)
                     for store, v in zip(out, (x["anchor"], key, text.decode(), doc, row, first), strict=True):
                         store.append(v)
@@ -95,7 +96,7 @@ def _pieces_of(rows: DataFrame, window: int) -> DataFrame:
                 names=["anchor", "piece", "words", "doc", "row", "first"],
             )
 
-    return rows.select("row", "doc", "packed", "found").mapInArrow(
+    return rows.select("row", "doc", "packed", "counts", "found").mapInArrow(
         run, "anchor long, piece long, words string, doc long, row long, first int"
     )
 
@@ -175,7 +176,7 @@ def remove_repeats(
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256, kept (null where nothing is removed).
 
     1. Every document's windows of ``window`` words are grouped by anchor (:func:`pieces`); anchors that only one
-       document has are dropped after a pre-aggregated count.
+       document has are dropped.
     2. The pieces of the others are cut from the texts; equal pieces become one, with the first and last document.
     3. Pieces are dealt to shards by anchor, so all places of a window meet in one shard.  Each shard confirms its
        recurring windows word by word, compiles them into an automaton and streams its pieces (:func:`locate`).
@@ -188,16 +189,10 @@ def remove_repeats(
     rows = _anchored(docs, id_col, text_col, window, anchor).withColumn("row", F.monotonically_increasing_id())
     rows = cut(rows.withColumn("doc", F.coalesce("doc_id", F.lit(LAST))), "repeats-rows")
     places = rows.select("row", "doc", F.posexplode("anchors").alias("at", "anchor"))
-    span = places.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-    places = places.join(span.filter("lo < hi").select("anchor"), "anchor", "left_semi")
-    chosen = places.groupBy("row").agg(F.collect_list("at").alias("at"))
-    found = F.transform(
-        "at",
-        lambda i: F.struct(
-            F.get("anchors", i).alias("anchor"), F.get("firsts", i).alias("first"), F.get("counts", i).alias("count")
-        ),
-    )
-    held = rows.join(chosen, "row").select("row", "doc", "packed", found.alias("found"))
+    same = Window.partitionBy("anchor")  # its rows pass through one sort that spills; they are never held together
+    places = places.select("row", "at", "anchor", F.min("doc").over(same).alias("lo"), F.max("doc").over(same).alias("hi"))
+    chosen = places.filter("lo < hi").groupBy("row").agg(F.collect_list(F.struct("at", "anchor")).alias("found"))
+    held = rows.select("row", "doc", "packed", "counts").join(chosen, "row")
     held = cut(held, "repeats-held")
     cuts = _pieces_of(held, window)
     distinct = cuts.groupBy("anchor", "piece", "words").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
