@@ -40,7 +40,7 @@ class CoverTree:
         todo = [(0, len(x), None)]
         while todo:
             start, end, parent = todo.pop()
-            rows = order[start:end]
+            rows = order[start:end].copy()  # the order changes below
             far = np.sqrt(np.maximum(((x[rows] - x[rows[0]]) ** 2).sum(axis=1), 0))
             center = x[rows[0]]
             node = Node(start, end, center, float(far.max()), float(np.sqrt(center @ center)), [])
