@@ -33,7 +33,7 @@ class CoverTree:
     children would be needed, the rest goes to the nearest of them.
     """
 
-    def __init__(self, points: np.ndarray, ids: np.ndarray, leaf: int = 32, fan: int = 16):
+    def __init__(self, points: np.ndarray, ids: np.ndarray, leaf: int = 128, fan: int = 16):
         self.nodes: list[Node] = []
         x = points.astype(np.float64)
         order = np.arange(len(x))
@@ -107,9 +107,11 @@ def dual_search(queries: CoverTree, floor: np.ndarray, data: CoverTree, k: int)
             ids = data.ids[other]
             s[queries.ids[span][:, None] == ids[None, :]] = -np.inf
             s[s < worst[span][:, None]] = -np.inf
-            hit = np.flatnonzero(np.isfinite(s).any(axis=1))
+            good = np.isfinite(s)
+            hit, some = np.flatnonzero(good.any(axis=1)), np.flatnonzero(good.any(axis=0))
             if len(hit):
                 at = hit + a.start
+                s, ids = s[:, some], ids[some]
                 all_s = np.hstack([scores[at], s[hit]])
                 all_i = np.hstack([best[at], np.broadcast_to(ids, (len(hit), len(ids)))])
                 order = np.lexsort((all_i, -all_s), axis=-1)[:, :k]
@@ -152,7 +154,7 @@ def search(
     block_rows: int = 2048,
     group_rows: int = 256,
     sample_rows: int = 4096,
-    cells: int = 64,
+    cells: int = 16,
 ) -> DataFrame:
     """Each query's ``k`` best rows by integer inner product: query_id, rank, vec_id, score; ties to the smaller vec_id.
 
