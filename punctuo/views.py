@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -115,13 +115,16 @@ class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
-    @cached_property
-    def _with(self) -> str:
-        tables = [f"{t} AS (SELECT * FROM parquet.`{self.sf_dir}/{t}.parquet`)" for t in TABLES]
-        return "WITH " + ",\n".join(tables + [f"{name} AS ({_spark(text)})" for name, text in VIEWS.items()])
-
     def sql(self, text: str) -> DataFrame:
-        return self.spark.sql(f"{self._with}\n{_spark(text)}")
+        """Run SQL over the views; only tables and views that it needs are read."""
+        wanted, todo = set(), [text]
+        while todo:
+            found = {w for w in re.findall(r"\w+", todo.pop()) if w in VIEWS or w in TABLES} - wanted
+            wanted |= found
+            todo += [VIEWS[w] for w in found if w in VIEWS]
+        parts = [f"{t} AS (SELECT * FROM parquet.`{self.sf_dir}/{t}.parquet`)" for t in TABLES if t in wanted]
+        parts += [f"{name} AS ({_spark(view)})" for name, view in VIEWS.items() if name in wanted]
+        return self.spark.sql("WITH " + ",\n".join(parts) + "\n" + _spark(text))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in VIEWS:
