@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import string
 import tempfile
 import uuid
@@ -27,10 +28,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a lineage cut that outlives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Write ``df`` to the shared folder and read it back: a lineage cut that outlives lost executors.
+
+    Spark deletes the shuffle files of a finished step when the driver collects the step's plan as garbage, which a
+    driver with little to do may not do for half an hour; :func:`settle` asks for it.
+    """
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    del df
+    settle(spark)
+    return out
+
+
+def settle(spark: SparkSession) -> None:
+    """Collect garbage on the driver, so that shuffle files that nothing refers to any more are deleted."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def forget(*cuts: DataFrame) -> None:
+    """Delete the tables of cuts that no later step reads."""
+    for df in cuts:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def ascii_lower(text: Column) -> Column:

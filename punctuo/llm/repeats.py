@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from punctuo.llm.common import cut
+from punctuo.llm.common import cut, forget
 from punctuo.llm.shingles import WordHashes, grams
 
 #: Pieces that one automaton serves, about.
@@ -193,6 +193,7 @@ def remove_repeats(
     places = places.select("row", "at", "anchor", F.min("doc").over(same).alias("lo"), F.max("doc").over(same).alias("hi"))
     chosen = places.filter("lo < hi").groupBy("row").agg(F.collect_list(F.struct("at", "anchor")).alias("found"))
     held = rows.select("row", "doc", "packed", "counts").join(chosen, "row")
+    del places, chosen
     held = cut(held, "repeats-held")
     cuts = _pieces_of(held, window)
     distinct = cuts.groupBy("anchor", "piece", "words").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
@@ -206,6 +207,7 @@ def remove_repeats(
         )
     )
     hits = cut(hits, "repeats-hits")
+    forget(distinct)
     on = cuts.select("anchor", "piece", "doc", "row", "first").join(hits, ["anchor", "piece"])
     earlier = F.filter(F.arrays_zip("offsets", "firsts"), lambda h: h["firsts"] < F.col("doc"))
     starts = F.transform(earlier, lambda h: h["offsets"] + F.col("first"))
