@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from punctuo.llm.common import cut
+from punctuo.llm.common import cut, forget
 from punctuo.llm.components import components
 from punctuo.llm.shingles import WordHashes, mixed, set_hash, shingle_set
 
@@ -26,7 +26,7 @@ NONE = np.zeros(0, np.uint64)
 #: Up to this many (set, document) ids are broadcast (16 bytes each).
 BROADCAST_IDS = 200_000
 #: A signature with more sets than LARGE is compared in blocks of about BLOCK.
-LARGE, BLOCK = 32, 256
+LARGE, BLOCK = 8, 256
 
 
 def bands(size: int) -> list[tuple[int, int]]:
@@ -232,7 +232,10 @@ def link(
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = cut(_promising(pairs, known, percent), "jaccard-pairs")
-        return cut(_verified(pairs, _texts(docs, id_col, text_col, pairs, known, n, repeated), n, percent), "jaccard-links")
+        texts = _texts(docs, id_col, text_col, pairs, known, n, repeated)
+        found = cut(_verified(pairs, texts, n, percent), "jaccard-links")
+        forget(texts, pairs)
+        return found
 
     first = shared.groupBy("set_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     first = first.select(F.col("set_id").alias("b"), F.explode(F.array("lo", "hi")).alias("a")).filter("a <> b")
@@ -248,9 +251,13 @@ def link(
     tried = cut(tried.join(first, ["a", "b"], "left_anti"), "jaccard-next")
     links = links.unionByName(linked(tried))
 
+    # What is left is compared pair by pair, across components.
     rest = _open(shared, links, known)
-    second = _few(rest.filter(F.col("sets") <= LARGE), percent)
-    second = second.unionByName(_many(rest.filter(F.col("sets") > LARGE), known, percent)).distinct()
+    large = rest.filter(F.col("sets") > LARGE)
+    own = _texts(docs, id_col, text_col, large.select(F.col("set_id").alias("a"), F.col("set_id").alias("b")), known, n, repeated)
+    fine = cut(_fine(own, n), "jaccard-fine")
+    forget(own)
+    second = _few(rest.filter(F.col("sets") <= LARGE), percent).unionByName(_many(large, fine, percent)).distinct()
     second = second.join(first.unionByName(tried), ["a", "b"], "left_anti")
     links = links.unionByName(linked(second))
 
@@ -291,38 +298,78 @@ def _few(members: DataFrame, percent: int) -> DataFrame:
     return l.join(r, near).select(F.col("l.set_id").alias("a"), F.col("r.set_id").alias("b"))
 
 
-def _many(members: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components of large signatures that sizes and sketches allow.
+def tokens(shingles: np.ndarray) -> np.ndarray:
+    """A fine sketch: a 16-bit bucket for each shingle, numbered where several fall into one, sorted.
+
+    Two sets share at least as many tokens as shingles, and hardly more.
+    """
+    bucket = np.sort(mixed(shingles + np.uint64(13)) & np.uint64(0xFFFF)).astype(np.uint32)
+    start = np.flatnonzero(np.diff(bucket, prepend=np.uint32(1 << 20)))
+    nth = np.arange(len(bucket)) - np.repeat(start, np.diff(start, append=len(bucket)))
+    return (bucket | (np.minimum(nth, 0xFFFF).astype(np.uint32) << np.uint32(16))).astype("<u4")
+
+
+def shared_tokens(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many tokens each of ``left`` shares with each of ``right``, a lot of ``columns`` tokens at a time."""
+    a, b = np.concatenate([NONE, *left]), np.concatenate([NONE, *right])
+    both = np.intersect1d(a, b)
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(both), columns):
+        lot = both[at : at + columns]
+        sides = []
+        for side in (left, right):
+            m = np.zeros((len(side), len(lot)), np.float32)
+            for k, x in enumerate(side):
+                found = np.searchsorted(lot, x)
+                found[found == len(lot)] = 0
+                m[k, found[lot[found] == x]] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def _many(members: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components of large signatures that the fine sketches (set_id, tokens) allow.
 
     Members are dealt to blocks of about BLOCK; two blocks meet in one task, which compares sketches and returns only
     the pairs that pass, so neither a whole signature nor all its pairs are ever in one place.
     """
     blocks = F.ceil(F.col("sets") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("set_id", F.lit(5)), blocks).cast("int")
-    met = members.join(known.select("set_id", "sketch"), "set_id").withColumn("own", own)
+    met = members.join(fine, "set_id").withColumn("own", own)
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     met = met.select(
-        "signature", "set_id", "component", "size", "sketch", "own",
+        "signature", "set_id", "component", "size", "tokens", "own",
         F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
     )
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        sketches = [np.frombuffer(x, "<u2").astype(np.int32) for x in pdf["sketch"]]
-        few = min(map(len, sketches))
-        x = np.array([v.reshape(-1, few).sum(axis=0) for v in sketches])
+        held = [np.frombuffer(x, "<u4") for x in pdf["tokens"]]
         ids, size, home, part = (pdf[c].to_numpy() for c in ("set_id", "size", "component", "own"))
-        same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
-        out = []
-        for k in range(len(ids)):
-            fit = (home != home[k]) & (100 * np.minimum(size, size[k]) >= percent * np.maximum(size, size[k]))
-            fit &= (ids > ids[k]) if same else (part > part[k])
-            at = np.flatnonzero(fit)
-            most = (100 - percent) * (size[at] + size[k]) // (100 + percent)
-            at = at[np.abs(x[at] - x[k]).sum(axis=1) <= most]
-            out.append(np.column_stack([np.minimum(ids[at], ids[k]), np.maximum(ids[at], ids[k])]))
-        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
-
-    return met.groupBy("signature", "i", "j").applyInPandas(compare, "a long, b long")
+        left = np.flatnonzero(part == pdf["i"].iloc[0])
+        right = np.flatnonzero(part == pdf["j"].iloc[0])
+        both = shared_tokens([held[k] for k in left], [held[k] for k in right])
+        union = size[left][:, None] + size[right][None, :] - both
+        fit = (100 * both >= percent * union) & (home[left][:, None] != home[right][None, :])
+        if pdf["i"].iloc[0] == pdf["j"].iloc[0]:
+            fit &= ids[left][:, None] < ids[right][None, :]
+        x, y = np.nonzero(fit)
+        x, y = ids[left[x]], ids[right[y]]
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    return met.groupBy("signature", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+
+
+def _fine(texts: DataFrame, n: int) -> DataFrame:
+    """The fine sketches of ``texts`` (set_id, text): set_id, tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for b in _batches(batches):
+            out = [tokens(_set(text, known, n)).tobytes() for text in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["set_id", "tokens"])
+
+    return texts.select("set_id", "text").mapInArrow(run, "set_id long, tokens binary")
 
 
 def _texts(
