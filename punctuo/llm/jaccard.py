@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -66,13 +67,20 @@ def signatures(shingles: np.ndarray, percent: int, hot: np.ndarray = NONE) -> np
             np.add.at(sums, segment, shingles)
             out += [mixed(sums + salt), mixed(sums[segment] - shingles + salt[segment])]
             continue
-        order = np.argsort(segment, kind="stable")
-        number, start, count = np.unique(segment[order], return_index=True, return_counts=True)
+        order = np.argsort(segment.astype(np.uint16) if m <= 0xFFFF else segment, kind="stable")
+        counts = np.bincount(segment, minlength=m)
+        number = np.flatnonzero(counts)
+        count = counts[number]
+        start = np.cumsum(count) - count
         found = mixed(np.add.reduceat(shingles[order], start) + salt[number])
         partner = min(largest, size * 100 // percent)
         differ = (100 - percent) * (size + partner) // (100 + percent)
-        common = hot[np.searchsorted(hot, found) % len(hot)] == found if len(hot) else np.zeros(len(found), bool)
-        out.append(found[np.lexsort((found, -count, common))[: differ + 1]])
+        # One number for the order: hot, then fewer tokens, then hash.
+        cost = (found >> np.uint64(16)) | ((0x7FFF - np.minimum(count, 0x7FFF)).astype(np.uint64) << np.uint64(48))
+        if len(hot):
+            common = hot[np.searchsorted(hot, found) % len(hot)] == found
+            cost |= common.astype(np.uint64) << np.uint64(63)
+        out.append(found[np.argpartition(cost, differ)[: differ + 1]] if len(found) > differ + 1 else found)
         if len(number) <= differ:
             out.append(mixed(np.array([band + 64], np.uint64)))
     return np.unique(np.concatenate(out))
@@ -173,18 +181,18 @@ def _promising(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Of ``pairs`` (a, b: set ids), those whose Jaccard similarity reaches the threshold, counted in whole numbers."""
-    left = texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b"))
+    left = texts.select(F.col("set_id").alias("a"), F.col("packed").alias("text_a"))
+    right = texts.select(F.col("set_id").alias("b"), F.col("packed").alias("text_b"))
     rows = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, recent = WordHashes(), {}
+        known, recent, expand = WordHashes(), {}, zstandard.ZstdDecompressor()
 
-        def of(own: int, text: str) -> np.ndarray:
+        def of(own: int, packed: bytes) -> np.ndarray:
             if own not in recent:
                 if len(recent) >= 2000:
                     recent.clear()
-                recent[own] = _set(text, known, n)
+                recent[own] = _set(expand.decompress(packed).decode(), known, n)
             return recent[own]
 
         for batch in _batches(batches, 100):
@@ -207,7 +215,7 @@ def link(
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
     Equal shingle sets are one set.  Sets that share a signature are compared in two steps: first each with the smallest
-    and the largest set it meets, and with the next in hash order, which joins groups of near copies without listing
+    set it meets, and with the next in hash order, which joins groups of near copies without listing
     their pairs; then, for every signature whose sets still lie in several components, every pair across components.
     So every link either is found or lies within a component, and component ids are exact.  Pairs whose sketches
     differ too much are dropped before their texts are read.  Shingles and sets are compared by 64-bit hashes.
@@ -218,13 +226,16 @@ def link(
     """
     rows = cut(_indexed(docs, id_col, text_col, n, percent), "jaccard-sets")
     ids = rows.filter("doc_id is not null and n_shingles > 0")
-    sets = ids.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("size"))
     meets = ids.select(F.explode("found").alias("signature"), "set_id")
     group = Window.partitionBy("signature")
     shared = meets.select(
         "signature", "set_id", F.min("set_id").over(group).alias("lo"), F.max("set_id").over(group).alias("hi")
     ).filter("lo <> hi")
-    shared = cut(shared.distinct(), "jaccard-shared")
+    shared = cut(shared.drop("hi").distinct(), "jaccard-shared")
+    whole, rows = rows, cut(rows.drop("found"), "jaccard-rows")
+    forget(whole)
+    ids = rows.filter("doc_id is not null and n_shingles > 0")
+    sets = ids.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("size"))
     meeting = shared.select("set_id").distinct()
     known = ids.join(meeting, "set_id", "left_semi").groupBy("set_id", F.col("n_shingles").alias("size"), "sketch")
     known = cut(known.agg(F.min("doc_id").alias("rep")), "jaccard-known")
@@ -237,9 +248,7 @@ def link(
         forget(texts, pairs)
         return found
 
-    first = shared.groupBy("set_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    first = first.select(F.col("set_id").alias("b"), F.explode(F.array("lo", "hi")).alias("a")).filter("a <> b")
-    first = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    first = shared.groupBy(F.col("set_id").alias("b")).agg(F.min("lo").alias("a")).filter("a <> b").select("a", "b")
     first = cut(first, "jaccard-first")
     links = linked(first)
 
@@ -361,27 +370,35 @@ def _many(members: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
 
 
 def _fine(texts: DataFrame, n: int) -> DataFrame:
-    """The fine sketches of ``texts`` (set_id, text): set_id, tokens."""
+    """The fine sketches of ``texts`` (set_id, packed): set_id, tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known, expand = WordHashes(), zstandard.ZstdDecompressor()
         for b in _batches(batches):
-            out = [tokens(_set(text, known, n)).tobytes() for text in b.column(1).to_pylist()]
+            texts = (expand.decompress(packed).decode() for packed in b.column(1).to_pylist())
+            out = [tokens(_set(text, known, n)).tobytes() for text in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["set_id", "tokens"])
 
-    return texts.select("set_id", "text").mapInArrow(run, "set_id long, tokens binary")
+    return texts.select("set_id", "packed").mapInArrow(run, "set_id long, tokens binary")
 
 
 def _texts(
     docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, known: DataFrame, n: int, repeated: bool
 ) -> DataFrame:
-    """One text of each set in ``pairs``: set_id, text.  Few ids are broadcast to the scan; many are joined by shuffle."""
+    """One text of each set in ``pairs``: set_id, packed (zstd, as texts of pairs are shuffled).  Few ids are broadcast to the scan; many are joined by shuffle."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
     wanted = cut(known.select("set_id", "rep").join(ids, "set_id", "left_semi"), "jaccard-wanted")
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(wanted, "rep")
     rows = rows.select("set_id", "text")
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = zstandard.ZstdCompressor(level=3)
+        for b in _batches(batches):
+            packed = [small.compress((text or "").encode()) for text in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["set_id", "packed"])
+
     if repeated:  # a repeated doc_id may bring texts of other sets
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,7 +409,7 @@ def _texts(
                 yield b.filter(pa.array(keep, pa.bool_()))
 
         rows = rows.mapInArrow(run, "set_id long, text string").dropDuplicates(["set_id"])
-    return cut(rows, "jaccard-texts")
+    return cut(rows.mapInArrow(squeeze, "set_id long, packed binary"), "jaccard-texts")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
