@@ -31,14 +31,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a lineage cut that outlives lost executors.
 
     Spark deletes the shuffle files of a finished step when the driver collects the step's plan as garbage, which a
-    driver with little to do may not do for half an hour; :func:`settle` asks for it.
+    driver with little to do may not do for half an hour; each cut asks for it before it writes (:func:`settle`).
     """
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    settle(spark)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
-    del df
-    settle(spark)
     return out
 
 

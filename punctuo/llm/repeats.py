@@ -191,10 +191,14 @@ def remove_repeats(
     places = rows.select("row", "doc", F.posexplode("anchors").alias("at", "anchor"))
     same = Window.partitionBy("anchor")  # its rows pass through one sort that spills; they are never held together
     places = places.select("row", "at", "anchor", F.min("doc").over(same).alias("lo"), F.max("doc").over(same).alias("hi"))
-    chosen = places.filter("lo < hi").groupBy("row").agg(F.collect_list(F.struct("at", "anchor")).alias("found"))
+    again = cut(places.filter("lo < hi").select("row", "at", "anchor"), "repeats-again")
+    del places
+    chosen = again.groupBy("row").agg(F.collect_list(F.struct("at", "anchor")).alias("found"))
     held = rows.select("row", "doc", "packed", "counts").join(chosen, "row")
-    del places, chosen
+    del chosen
     held = cut(held, "repeats-held")
+    whole, rows = rows, cut(rows.select("row", "doc_id", "n_words", "digest"), "repeats-light")
+    forget(whole, again)
     cuts = _pieces_of(held, window)
     distinct = cuts.groupBy("anchor", "piece", "words").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
     distinct = cut(distinct, "repeats-pieces")
