@@ -29,6 +29,8 @@ IDENTITY = (
 SWAP = {term: group[(i + 1) % len(group)] for group in IDENTITY for i, term in enumerate(group)}
 TOKEN = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"(?<=[.!?\n])\s+")
+#: Documents whose buckets are counted at a time on the driver, which bounds its memory.
+COUNTED = 1000
 
 
 def features_of(word: str, buckets: int) -> tuple[int, ...]:
@@ -121,7 +123,7 @@ def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     array = lists.combine_chunks()
     array = array.chunk(0) if isinstance(array, pa.ChunkedArray) else array
     sizes = np.diff(array.offsets.to_numpy())
-    return np.repeat(np.arange(len(sizes)), sizes), array.flatten().to_numpy()
+    return np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), array.flatten().to_numpy()
 
 
 def fit(y: np.ndarray, plain: tuple, minus: tuple, plus: tuple, buckets: int, penalty: float = 1.0, ridge: float = 3e-4, rounds: int = 400, least: int = 5, least_z: float = 3.0) -> Model:
@@ -136,13 +138,16 @@ def fit(y: np.ndarray, plain: tuple, minus: tuple, plus: tuple, buckets: int, pe
     rows, cols = plain
     if n == 0 or y.min() == y.max():
         return Model(buckets, intercept, {})
-    seen = np.unique(rows.astype(np.int64) * buckets + cols)
-    all_n = np.bincount(seen % buckets, minlength=buckets)
-    toxic_n = np.bincount(seen % buckets, weights=y[seen // buckets], minlength=buckets)
+    all_n, toxic_n = np.zeros(buckets), np.zeros(buckets)
+    for start in range(0, n, COUNTED):  # ``rows`` ascend, so a block has the whole of its documents
+        part = slice(*np.searchsorted(rows, (start, start + COUNTED)))
+        seen = np.unique(rows[part].astype(np.int64) * buckets + cols[part])
+        all_n += np.bincount(seen % buckets, minlength=buckets)
+        toxic_n += np.bincount(seen % buckets, weights=y[seen // buckets], minlength=buckets)
     share = y.mean()
     z = (toxic_n - all_n * share) / np.sqrt(np.maximum(all_n * share * (1 - share), 1e-9))
     kept = np.flatnonzero((all_n >= least) & (np.abs(z) >= least_z))
-    place = np.full(buckets, -1)
+    place = np.full(buckets, -1, np.int32)
     place[kept] = np.arange(len(kept))
 
     def narrowed(rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
