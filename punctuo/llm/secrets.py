@@ -26,8 +26,9 @@ CLASSES = (
     ("alnum", r"^[A-Za-z0-9]+$", string.ascii_letters + string.digits, 3.5),
     ("base64", r"^.+$", string.ascii_letters + string.digits + "+/_=-", 3.6),
 )
-#: Candidates that are no secrets: words without a digit, numbers, paths of words, rulers.
-ALLOW = (r"^[A-Za-z_/=-]+$", r"^[0-9_/=+-]+$", r"(?i)example|sample|placeholder", r"^(.)\1+$", r"(?i)^[a-z]+([_/-][a-z]+|[_/-][0-9]{1,4})+$")
+#: Candidates that are no secrets: words without a digit, numbers, paths of words, rulers.  Java matches a repeated group
+#: by recursion, a call a repeat, unless it is possessive; a part ends at a separator, so giving back would find no more.
+ALLOW = (r"^[A-Za-z_/=-]+$", r"^[0-9_/=+-]+$", r"(?i)example|sample|placeholder", r"^(.)\1+$", r"(?i)^[a-z]+(?:[_/-](?:[a-z]+|[0-9]{1,4}))++$")
 
 
 def spans(text: Column, kind: str, order: int, pattern: str, group: int, least: int) -> Column:
