@@ -18,6 +18,12 @@ from punctuo.llm.shingles import WordHashes, grams
 
 #: Pieces that one automaton serves, about.
 PIECES_PER_SHARD = 20_000
+#: Anchors with more distinct pieces than this are dealt by single windows instead; see :func:`_hot_hits`.
+HOT_PIECES = 1_000
+#: Hot anchors up to this number (8 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_ANCHORS = 200_000
+#: Words that one dictionary of letters holds at most; there are 1,112,063 code points.
+LETTERS = 1_000_000
 LAST = (1 << 63) - 1
 
 
@@ -106,10 +112,17 @@ def locate(shard: pd.DataFrame, window: int) -> pd.DataFrame:
 
     ``shard``: anchor, piece, words, lo, hi (smallest and largest document of each distinct piece).  Returns anchor,
     piece, offsets and firsts: where in the piece a confirmed window starts and the first document that has it.  Words
-    become single code points of a dictionary of the shard, so patterns are strings of ``window`` characters.
+    become single code points of a dictionary of the shard, so patterns are strings of ``window`` characters.  A shard
+    with more words than there are letters is done in two parts, as windows of different anchors differ.
     """
     import ahocorasick
 
+    if shard["words"].str.count(" ").sum() + len(shard) > LETTERS and shard["anchor"].nunique() > 1:
+        anchors = np.sort(shard["anchor"].to_numpy())
+        middle = max(anchors[len(anchors) // 2], anchors[anchors > anchors[0]][0])
+        parts = (shard[shard["anchor"] < middle], shard[shard["anchor"] >= middle])
+        return pd.concat([locate(part, window) for part in parts])
+
     letters: dict[str, str] = {}
 
     def letter(word: str) -> str:
@@ -142,6 +155,39 @@ def locate(shard: pd.DataFrame, window: int) -> pd.DataFrame:
     return out[out["offsets"].map(len) > 0]
 
 
+def _hot_hits(distinct: DataFrame, window: int) -> DataFrame:
+    """What :func:`locate` finds, for pieces of anchors that have too many for a shard: anchor, piece, offsets, firsts.
+
+    Each single window is a key of its own (anchor and a 128-bit hash of its words), so equal windows still meet while an
+    anchor spreads over all tasks.  Its first and last document are summed up before they are shuffled, and the recurring
+    windows, one row each, are joined to the pieces, where a window of many pieces is a skewed join that is dealt anew.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _lots(batches, 2000):
+            out = ([], [], [], [], [], [])
+            for anchor, piece, text, lo, hi in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                words = text.encode().split(b" ")
+                for at in range(len(words) - window + 1):
+                    mark = xxhash.xxh3_128_digest(b" ".join(words[at : at + window]))
+                    for store, v in zip(out, (anchor, piece, at, mark, lo, hi), strict=True):
+                        store.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v, k) for v, k in zip(out, kinds, strict=True)],
+                names=["anchor", "piece", "at", "mark", "lo", "hi"],
+            )
+
+    windows = distinct.select("anchor", "piece", "words", "lo", "hi").mapInArrow(
+        run, "anchor long, piece long, at int, mark binary, lo long, hi long"
+    )
+    again = windows.groupBy("anchor", "mark").agg(F.min("lo").alias("first"), F.max("hi").alias("last"))
+    again = cut(again.filter("first < last").select("anchor", "mark", "first"), "repeats-windows")
+    found = windows.select("anchor", "piece", "at", "mark").join(again, ["anchor", "mark"])
+    found = found.groupBy("anchor", "piece").agg(F.collect_list(F.struct("at", "first")).alias("found"))
+    return found.select("anchor", "piece", F.col("found.at").alias("offsets"), F.col("found.first").alias("firsts"))
+
+
 def _without(rows: DataFrame, window: int) -> DataFrame:
     """Cut the windows that start at ``starts`` out of ``packed``: row, n_removed, kept_sha256, kept."""
 
@@ -179,7 +225,8 @@ def remove_repeats(
        document has are dropped.
     2. The pieces of the others are cut from the texts; equal pieces become one, with the first and last document.
     3. Pieces are dealt to shards by anchor, so all places of a window meet in one shard.  Each shard confirms its
-       recurring windows word by word, compiles them into an automaton and streams its pieces (:func:`locate`).
+       recurring windows word by word, compiles them into an automaton and streams its pieces (:func:`locate`).  Anchors
+       with more than HOT_PIECES distinct pieces are dealt by single windows instead (:func:`_hot_hits`).
     4. Hits go back to the documents that hold the piece; windows that a smaller doc_id has are cut out.
 
     Null and empty texts have no words.  A null doc_id counts as larger than any.  Rows with the same doc_id are one
@@ -202,14 +249,21 @@ def remove_repeats(
     cuts = _pieces_of(held, window)
     distinct = cuts.groupBy("anchor", "piece", "words").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
     distinct = cut(distinct, "repeats-pieces")
-    shards = max(1, -(-distinct.count() // PIECES_PER_SHARD))
+    counts = distinct.groupBy("anchor").count()
+    hot = cut(counts.filter(F.col("count") > HOT_PIECES).select("anchor"), "repeats-hot")
+    many = hot.count()
+    keys = F.broadcast(hot) if many <= BROADCAST_ANCHORS else hot
+    usual = distinct.join(keys, "anchor", "left_anti") if many else distinct
+    shards = max(1, -(-usual.count() // PIECES_PER_SHARD))
     hits = (
-        distinct.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+        usual.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
         .groupBy("shard")
         .applyInPandas(
             lambda shard: locate(shard, window), "anchor long, piece long, offsets array<int>, firsts array<long>"
         )
     )
+    if many:
+        hits = hits.unionByName(_hot_hits(distinct.join(keys, "anchor", "left_semi"), window))
     hits = cut(hits, "repeats-hits")
     forget(distinct)
     on = cuts.select("anchor", "piece", "doc", "row", "first").join(hits, ["anchor", "piece"])

@@ -1,11 +1,13 @@
 """Operators on long texts, hot keys and null or repeated ids."""
 
+import hashlib
 import random
 import re
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from punctuo.llm import secrets
+from punctuo.llm import repeats, secrets
 
 
 def test_slug_of_any_length_is_allowed(spark):
@@ -24,3 +26,38 @@ def test_path_pattern_fits_the_same_strings(spark):
     found = {r["v"]: r["fits"] for r in got.collect()}
     assert found == {v: bool(plain.match(v)) for v in values}
     assert any(found.values())
+
+
+def test_common_phrase_is_spread(spark, monkeypatch):
+    rng = random.Random(7)
+    words = lambda n: [f"w{rng.randrange(60)}" for _ in range(n)]
+    phrase = [f"p{i}" for i in range(12)]
+    lists = {i: words(6) + phrase + words(6) for i in range(2500)}
+    first, want = {}, {}
+    for i, w in lists.items():
+        for j in range(len(w) - 12):
+            first.setdefault(tuple(w[j : j + 13]), i)
+    for i, w in lists.items():
+        stay = [True] * len(w)
+        for j in range(len(w) - 12):
+            if first[tuple(w[j : j + 13])] < i:
+                stay[j : j + 13] = [False] * 13
+        kept = " ".join(x for x, s in zip(w, stay) if s)
+        want[i] = (stay.count(False), hashlib.sha256(kept.encode()).hexdigest())
+    locate = repeats.locate
+
+    def guarded(shard, window):
+        assert shard.groupby("anchor").size().max() <= 1000
+        return locate(shard, window)
+
+    monkeypatch.setattr(repeats, "locate", guarded)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in lists.items()], "doc_id long, text string")
+    got = repeats.remove_repeats(docs).collect()
+    assert {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in got} == want
+
+
+def test_shard_with_more_words_than_letters():
+    rows = [(i % 7, i, " ".join(f"x{i}_{j}" for j in range(20)), i, i) for i in range(60_000)]
+    rows += [(3, -1, "same " * 12 + "same", 1, 2)]
+    got = repeats.locate(pd.DataFrame(rows, columns=["anchor", "piece", "words", "lo", "hi"]), 13)
+    assert got.values.tolist() == [[3, -1, [0], [1]]]
