@@ -53,12 +53,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pr
     """
     refined = refine(docs, id_col, text_col, prefix)
     losers = refined.join(groups(refined), "full_hash").filter(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    losers = losers.select(F.struct("doc_id", "len", "head").alias("__k")).distinct()
+    losers = losers.select(F.struct("doc_id", "len", "head", "full_hash").alias("__k")).distinct()
     text = normal(text_col)
     key = F.struct(
         F.col(id_col).alias("doc_id"),
         F.octet_length(text).alias("len"),
         F.xxhash64(F.substring(text, 1, prefix)).alias("head"),
+        F.sha2(text, 256).alias("full_hash"),
     )
     return docs.withColumn("__k", key).join(losers, "__k", "left_anti").drop("__k")
 

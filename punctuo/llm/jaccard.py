@@ -11,6 +11,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from punctuo.llm.common import cut, forget
@@ -136,15 +137,16 @@ def _indexed(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
         known, seen = WordHashes(), set()
         for b in _batches(batches):
             sizes, sets, sketches, found = [], [], [], []
-            for text in b.column(1).to_pylist():
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 shingles = _set(text, known, n)
                 own = int(set_hash(shingles))
                 sizes.append(len(shingles))
                 sets.append(own)
                 sketches.append(sketch(shingles))
-                # An equal set of the same task adds no signatures.
-                found.append(NONE if own in seen else signatures(shingles, percent, hot))
-                seen.add(own)
+                # An equal set of the same task adds no signatures, nor does a row without an id, which links with nothing.
+                found.append(NONE if doc is None or own in seen else signatures(shingles, percent, hot))
+                if doc is not None:
+                    seen.add(own)
             if len(seen) > 500_000:
                 seen.clear()
             offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
@@ -224,6 +226,11 @@ def link(
     shingle.  Repeated rows and copies share a component.  Rows with a null doc_id link with nothing and have a null
     component_id.  An empty table gives an empty table.
     """
+    return _labelled(docs, id_col, text_col, n, percent).drop("set_id")
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """The rows of :func:`link` with their set_id."""
     rows = cut(_indexed(docs, id_col, text_col, n, percent), "jaccard-sets")
     ids = rows.filter("doc_id is not null and n_shingles > 0")
     meets = ids.select(F.explode("found").alias("signature"), "set_id")
@@ -278,9 +285,8 @@ def link(
     named = named.join(least, "component").select("set_id", "component_id")
     out = rows.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
-    return out.select(
-        "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    )
+    own = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), "set_id")
 
 
 def _open(shared: DataFrame, links: DataFrame, known: DataFrame) -> DataFrame:
@@ -413,7 +419,23 @@ def _texts(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest doc_id.  All columns stay."""
-    found = link(docs, id_col, text_col, n, percent).filter("component_id is not null and doc_id <> component_id")
-    losers = found.select(F.col("doc_id").alias("__loser")).distinct()
-    return docs.join(losers, F.col(id_col) == F.col("__loser"), "left_anti")
+    """``docs`` with one document of each component: the one with the smallest doc_id.  All columns stay.
+
+    Rows with a null doc_id stay.  Where a doc_id repeats, rows go by doc_id and shingle set, so another text of the same
+    doc_id stays.
+    """
+    found = _labelled(docs, id_col, text_col, n, percent).filter("component_id is not null and doc_id <> component_id")
+    losers = found.select(F.col("doc_id").alias("__loser"), F.col("set_id").alias("__lost")).distinct()
+    ids = docs.groupBy(F.col(id_col).cast("long").alias("id")).count()
+    if not ids.filter("id is not null and count > 1").limit(1).count():
+        return docs.join(losers.select("__loser"), F.col(id_col) == F.col("__loser"), "left_anti")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for b in _batches(batches):
+            own = [int(set_hash(_set(text, known, n))) for text in b.column(b.schema.get_field_index(text_col)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.int64())], names=[*b.schema.names, "__set"])
+
+    marked = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__set", LongType())]))
+    same = (F.col(id_col) == F.col("__loser")) & (F.col("__set") == F.col("__lost"))
+    return marked.join(losers, same, "left_anti").drop("__set")

@@ -7,7 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import functions as F
 
-from punctuo.llm import repeats, secrets
+from punctuo.llm import exact_dedup, jaccard, repeats, secrets
 
 
 def test_slug_of_any_length_is_allowed(spark):
@@ -61,3 +61,22 @@ def test_shard_with_more_words_than_letters():
     rows += [(3, -1, "same " * 12 + "same", 1, 2)]
     got = repeats.locate(pd.DataFrame(rows, columns=["anchor", "piece", "words", "lo", "hi"]), 13)
     assert got.values.tolist() == [[3, -1, [0], [1]]]
+
+
+def test_near_dedup_with_null_and_repeated_ids(spark):
+    long = [f"a{i}" for i in range(60)]
+    text, near = " ".join(long), " ".join([*long, "tail"])
+    rows = [(None, text), (7, text), (8, near), (8, "another text of the same id that nothing is near to"), (None, near)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in jaccard.link(docs).collect())
+    assert got == [(0, 56, None), (0, 57, None), (7, 56, 7), (8, 7, 8), (8, 57, 7)]
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.keep_one(docs).collect()]
+    assert sorted(kept, key=str) == sorted((r for r in rows if r != (8, near)), key=str)
+
+
+def test_exact_dedup_with_null_and_repeated_ids(spark):
+    head = "h" * 64
+    rows = [(None, head + " one"), (None, head + " two"), (5, head + " one"), (3, head + " six"), (3, head + " ten"), (4, head + " TEN")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"]) for r in exact_dedup.keep_one(docs).collect()]
+    assert sorted(kept, key=str) == sorted((rows[i] for i in (1, 2, 3, 5)), key=str)
