@@ -54,6 +54,15 @@ LIST = [
      k AS (SELECT *, least(n // 10, (n - 1) // 2) AS t FROM h WHERE n >= 3)
      SELECT uid, weekday, origin_crs, CAST(trunc(sum(delay_mins) / count(*)) AS INTEGER) AS predicted, max(n) / 20e0 AS confidence
      FROM k WHERE r > t AND r <= n - t GROUP BY 1, 2, 3"""),
+    ("history_ring_90", lambda v: L.history_ring(v.observations, PATTERN, 90).select("obs_id", "age"), f"""
+     SELECT obs_id, age FROM (SELECT obs_id, row_number() OVER ({_P} ORDER BY recorded_at DESC, obs_id DESC) AS age
+       FROM observations) x WHERE age <= 90"""),
+    ("trimmed_mean_predict_90", lambda v: L.trimmed_mean(v.observations, PATTERN, 90), f"""
+     WITH g AS (SELECT *, row_number() OVER ({_P} ORDER BY recorded_at DESC, obs_id DESC) AS age FROM observations),
+     h AS (SELECT *, count(*) OVER ({_P}) AS n, row_number() OVER ({_P} ORDER BY delay_mins, obs_id) AS r FROM g WHERE age <= 90),
+     k AS (SELECT *, least(n // 10, (n - 1) // 2) AS t FROM h WHERE n >= 3)
+     SELECT uid, weekday, origin_crs, CAST(trunc(sum(delay_mins) / count(*)) AS INTEGER) AS predicted, max(n) / 90e0 AS confidence
+     FROM k WHERE r > t AND r <= n - t GROUP BY 1, 2, 3"""),
     ("rolling_stats_training", lambda v: L.rolling_training(v.observations, ["uid", "origin_crs"], 7), """
      WITH x AS (SELECT a.obs_id, count(b.obs_id) AS n, avg(b.delay_mins) AS m, stddev_pop(b.delay_mins) AS s
        FROM observations a LEFT JOIN observations b ON a.uid = b.uid AND a.origin_crs = b.origin_crs
