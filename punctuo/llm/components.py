@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from punctuo.llm.common import cut
+from punctuo.llm.common import cut, forget
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -35,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
     sign = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")))
     seen = None
     while not edges.isEmpty():
-        edges = cut(_star(_star(edges, True), False), "components")
+        before, edges = edges, cut(_star(_star(edges, True), False), "components")
+        forget(before)
         now = edges.agg(sign).first()[0]
         if now == seen:
             break

@@ -6,9 +6,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -16,96 +14,168 @@ from pyspark.sql.window import Window
 
 from punctuo.llm.common import cut, forget
 from punctuo.llm.components import components
-from punctuo.llm.shingles import WordHashes, mixed, set_hash, shingle_set
+from punctuo.llm.shingles import mixed, set_hashes, shingle_sets, words_of
 
-UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-#: Bands up to this size index every segment with its one-deletion neighbours; see :func:`signatures`.
-SMALL_BAND = 12
-#: Signatures that cost most: those met at least HOT_SETS times, and of these the HOT_KEPT most frequent (8 bytes each
-#: go to every task).  They only steer which segments are indexed; results do not depend on them.
+#: Posting lists estimated to be long: signatures met at least HOT_SETS times, and of these the HOT_KEPT most frequent
+#: (8 bytes each go to every task).  They steer which signatures a set is indexed under; links do not depend on them.
 HOT_SETS, HOT_KEPT = 24, 200_000
-NONE = np.zeros(0, np.uint64)
-#: Up to this many (set, document) ids are broadcast (16 bytes each).
+NONE, ONE = np.zeros(0, np.uint64), np.uint64(1)
+#: Up to this many (set, document) ids are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 200_000
-#: A signature with more sets than LARGE is compared in blocks of about BLOCK.
-LARGE, BLOCK = 8, 256
+#: A signature with up to SMALL sets is compared pair by pair at once; one with more in blocks of about BLOCK.
+SMALL, BLOCK = 8, 256
 
 
-def bands(size: int) -> list[tuple[int, int]]:
-    """(number, largest size) of the bands of a set: band j holds sizes over 3^j and up to 4 * 3^j.
+def size_bands(size: int, percent: int, step: float) -> list[tuple[int, int]]:
+    """(number, largest size) of the bands of a set: band j holds sizes over step^j and up to step^(j+1) * 100 / percent.
 
-    Neighbouring bands overlap by a factor of 4/3, so two sets whose sizes are within it share a band, as any two with
-    a similarity of 0.75 do.
+    Neighbouring bands overlap by 100 / percent, so two sets that can be linked share a band.
     """
-    j = math.floor(math.log(size, 3) + 1e-9) - 2
-    return [(i, max(1, math.floor(4 * 3.0**i))) for i in range(j, j + 4) if 3.0**i < size <= 4 * 3.0**i]
-
-
-def signatures(shingles: np.ndarray, percent: int, hot: np.ndarray = NONE) -> np.ndarray:
-    """Hashes of which two linked sets share at least one.
-
-    Linked sets differ by at most H = (100 - p)(s + t) / (100 + p) shingles.  In each of its size bands the universe is
-    dealt into m segments by hash; linked sets then agree on m - H segments at least.
-
-    * Small bands take m = (H + 1) / 2 segments and allow one difference in each: the segment's subset and its
-      one-deletion neighbours are indexed.
-    * Larger bands take m well above H + 1 and allocate nothing to the segments that cost most: first those whose
-      signature is in ``hot`` (sorted), as many sets have it, then those with the fewest tokens, then by hash.  That
-      order is the same for both sets.  With z non-empty segments, the H + 1 cheapest always hold one that agrees,
-      whatever ``hot`` is; a set with z <= H also indexes a common mark, for pairs that agree on empty segments alone.
+    low = math.floor(math.log(size, step)) + 1
+    found = []
+    for j in range(low, -3, -1):
+        top = math.floor(step ** (j + 1) * 100 / percent + 1e-9)
+        if top < size:
+            break
+        if step**j < size:
+            found.append((j, top))
+    return found
+
+
+def differing(a: int, b: int, percent: int) -> int:
+    """Linked sets of these sizes differ by at most so many shingles."""
+    return (100 - percent) * (a + b) // (100 + percent)
+
+
+class Index:
+    """Signatures of sets; two linked sets share at least one.
+
+    **Subsets.**  In each of its size bands the universe is dealt into m segments by hash, m being well above the number H
+    of shingles by which linked sets of the band can differ, so they agree on m - H segments at least.  A set ranks its
+    non-empty segments by estimated cost: a posting list known to be long last, then more shingles first, then by hash.
+    Cost is a function of the subset alone, so of the segments that two linked sets agree on, the cheapest is among the
+    H + 1 cheapest of both, and only these are indexed.  A set with no more than H non-empty segments also has the band's
+    common mark, for pairs that agree on empty segments alone.
+
+    **One-deletion neighbourhoods.**  If a set's H + 1 cheapest segments include long posting lists, those subsets are not
+    indexed.  The set gets a second allocation: m = floor(H / 2) + 1 larger segments of a narrow band, each indexed as a
+    whole and with every single shingle deleted.  Of two linked sets, at least one of these segments differs by one shingle
+    or none, so the whole segment of one meets the whole or a one-deletion neighbour of the other.  If the cheapest segment that two sets agree on is a long posting list, both have left it out, so both have
+    the second allocation; if not, both have it in the first.
+
+    The lowest bit of a signature tells one-deletion neighbours (1), which need not meet one another.
     """
-    size, out = len(shingles), []
-    if not size:
-        return np.zeros(0, np.uint64)
-    for band, largest in bands(size):
-        most = (100 - percent) * 2 * largest // (100 + percent)
-        small = largest <= SMALL_BAND
-        m = max(1, -(-(most + 1) // 2)) if small else max(most + 2, math.ceil(0.4 * largest))
-        segment = (mixed(shingles + np.uint64(7 + band % 97)) % np.uint64(m)).astype(np.int64)
-        salt = mixed(np.arange(m, dtype=np.uint64) + (np.uint64(band + 64) << np.uint64(40)))
-        if small:
-            sums = np.zeros(m, np.uint64)
-            np.add.at(sums, segment, shingles)
-            out += [mixed(sums + salt), mixed(sums[segment] - shingles + salt[segment])]
-            continue
-        order = np.argsort(segment.astype(np.uint16) if m <= 0xFFFF else segment, kind="stable")
-        counts = np.bincount(segment, minlength=m)
-        number = np.flatnonzero(counts)
-        count = counts[number]
-        start = np.cumsum(count) - count
-        found = mixed(np.add.reduceat(shingles[order], start) + salt[number])
-        partner = min(largest, size * 100 // percent)
-        differ = (100 - percent) * (size + partner) // (100 + percent)
-        # One number for the order: hot, then fewer tokens, then hash.
-        cost = (found >> np.uint64(16)) | ((0x7FFF - np.minimum(count, 0x7FFF)).astype(np.uint64) << np.uint64(48))
-        if len(hot):
-            common = hot[np.searchsorted(hot, found) % len(hot)] == found
-            cost |= common.astype(np.uint64) << np.uint64(63)
-        out.append(found[np.argpartition(cost, differ)[: differ + 1]] if len(found) > differ + 1 else found)
-        if len(number) <= differ:
-            out.append(mixed(np.array([band + 64], np.uint64)))
-    return np.unique(np.concatenate(out))
-
-
-def _batches(batches: Iterator[pa.RecordBatch], lot: int = 500) -> Iterator[pa.RecordBatch]:
+
+    def __init__(self, percent: int, hot: np.ndarray = NONE):
+        self.percent, self.hot = percent, hot
+        self.wide: dict[int, list] = {}
+        self.narrow: dict[int, list] = {}
+
+    def _bands(self, known: dict[int, list], step: float, sizes: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
+        """The sets of each band by their numbers."""
+        out: dict[tuple[int, int], list[int]] = {}
+        for i, size in enumerate(sizes.tolist()):
+            if size:
+                if size not in known:
+                    known[size] = size_bands(size, self.percent, step)
+                for band in known[size]:
+                    out.setdefault(band, []).append(i)
+        return {band: np.array(members) for band, members in out.items()}
+
+    def _dealt(self, shingles: np.ndarray, start: np.ndarray, sizes: np.ndarray, members: np.ndarray, m: int, salt: int):
+        """The shingles of ``members`` one after the other, and the segment of each (counted on from set to set)."""
+        own = np.repeat(np.arange(len(members)), sizes[members])
+        at = np.repeat(start[members] - (np.cumsum(sizes[members]) - sizes[members]), sizes[members]) + np.arange(len(own))
+        x = shingles[at]
+        return x, own, own * m + (mixed(x + np.uint64(salt)) % np.uint64(m)).astype(np.int64)
+
+    def subsets(self, shingles: np.ndarray, sizes: np.ndarray) -> Iterator[tuple]:
+        """For each band: members, its number, m, H of each member, and of each non-empty segment its set, count and hash."""
+        start = np.cumsum(sizes) - sizes
+        for (band, top), members in self._bands(self.wide, 3.0, sizes).items():
+            m = max(differing(top, top, self.percent) + 2, math.ceil(0.4 * top))
+            x, own, key = self._dealt(shingles, start, sizes, members, m, 7 + band)
+            count = np.bincount(key, minlength=len(members) * m)
+            sums = np.zeros(len(count), np.uint64)
+            np.add.at(sums, key, x)
+            number = np.flatnonzero(count)
+            salt = mixed(np.arange(m, dtype=np.uint64) + (np.uint64(band + 64) << np.uint64(40)))
+            found = mixed(sums[number] + salt[number % m]) & ~ONE
+            partner = np.minimum(top, sizes[members] * 100 // self.percent)
+            most = (100 - self.percent) * (sizes[members] + partner) // (100 + self.percent)
+            yield members, band, most, number // m, count[number], found
+
+    def neighbourhoods(self, shingles: np.ndarray, sizes: np.ndarray, asked: np.ndarray) -> Iterator[tuple]:
+        """For the sets ``asked``, by narrow band: the set of each signature and the signature."""
+        start = np.cumsum(sizes) - sizes
+        alone = np.where(asked, sizes, 0)
+        for (band, top), members in self._bands(self.narrow, 100 / self.percent, alone).items():
+            m = differing(top, top, self.percent) // 2 + 1
+            x, own, key = self._dealt(shingles, start, sizes, members, m, 131 + band)
+            sums = np.zeros(len(members) * m, np.uint64)
+            np.add.at(sums, key, x)
+            salt = mixed(np.arange(m, dtype=np.uint64) + (np.uint64(band + 1024) << np.uint64(40)))
+            yield np.repeat(members, m), mixed(sums + np.tile(salt, len(members))) & ~ONE
+            yield members[own], mixed(sums[key] - x + salt[key % m]) | ONE
+
+    def signatures(self, shingles: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The signatures of sets that lie in ``shingles`` one after the other: the set of each, and the signature."""
+        owner, out, dear = [], [], np.zeros(len(sizes), bool)
+        for members, band, most, own, count, found in self.subsets(shingles, sizes):
+            # One number for the order: long posting list, then fewer shingles, then hash.
+            cost = (found >> np.uint64(16)) | ((0x7FFF - np.minimum(count, 0x7FFF)).astype(np.uint64) << np.uint64(48))
+            if len(self.hot):
+                common = self.hot[np.searchsorted(self.hot, found) % len(self.hot)] == found
+                cost |= common.astype(np.uint64) << np.uint64(63)
+            edges = np.searchsorted(own, np.arange(len(members) + 1)).tolist()
+            chosen = []
+            for lo, hi, h in zip(edges, edges[1:], most.tolist()):
+                if hi - lo > h + 1:
+                    chosen.append(lo + np.argpartition(cost[lo:hi], h)[: h + 1])
+                else:
+                    chosen.append(np.arange(lo, hi))
+            pick = np.concatenate(chosen)
+            long = cost[pick] >> np.uint64(63) != 0
+            dear[members[own[pick[long]]]] = True
+            owner.append(members[own[pick[~long]]])
+            out.append(found[pick[~long]])
+            few = np.diff(edges) <= most
+            owner.append(members[few])
+            out.append(np.repeat(mixed(np.array([band + 64], np.uint64)) & ~ONE, few.sum()))
+        for own, found in self.neighbourhoods(shingles, sizes, dear) if dear.any() else ():
+            owner.append(own)
+            out.append(found)
+        return np.concatenate([np.zeros(0, np.int64), *owner]), np.concatenate([NONE, *out])
+
+
+def _lots(batches: Iterator[pa.RecordBatch], lot: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, lot):
             yield batch.slice(at, lot)
 
 
-def _set(text: str | None, known: WordHashes, n: int) -> np.ndarray:
-    return shingle_set(known.of((text or "").encode().translate(UPPER).split()), n)
+def _sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shingle sets of a lot of texts: shingles, sizes, and a hash of each set."""
+    words = words_of(texts, lower=True)
+    shingles, sizes = shingle_sets(words.hashes, words.sizes, n)
+    return shingles, sizes, set_hashes(shingles, sizes)
+
+
+def _some(shingles: np.ndarray, sizes: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return shingles[np.repeat(keep, sizes)], np.where(keep, sizes, 0)
 
 
 def _hot(docs: DataFrame, text_col: str, n: int, percent: int) -> np.ndarray:
-    """The most frequent signatures, from all documents: what a lot of them has twice is summed over all lots."""
+    """Long posting lists of subsets, from all documents: what a lot of them has twice is summed over all lots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for b in _batches(batches, 4000):
-            sets = {int(set_hash(x)): x for x in (_set(t, known, n) for t in b.column(0).to_pylist())}
-            found = np.concatenate([NONE, *(signatures(x, percent) for x in sets.values())])
-            value, count = np.unique(found, return_counts=True)
+        index = Index(percent)
+        for b in _lots(batches, 2000):
+            shingles, sizes, ids = _sets(b.column(0), n)
+            first = np.zeros(len(ids), bool)
+            first[np.unique(ids, return_index=True)[1]] = True
+            found = [part[-1] for part in index.subsets(*_some(shingles, sizes, first))]
+            value, count = np.unique(np.concatenate([NONE, *found]), return_counts=True)
             more = count > 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array(value[more].view(np.int64)), pa.array(count[more].astype(np.int64))], names=["s", "n"]
@@ -116,45 +186,54 @@ def _hot(docs: DataFrame, text_col: str, n: int, percent: int) -> np.ndarray:
     return np.sort(top.select("s").toArrow()["s"].to_numpy().astype(np.int64).view(np.uint64))
 
 
-def sketch(shingles: np.ndarray) -> bytes:
-    """Shingles by bucket, 4 to 8 a bucket on average; the number of buckets is a power of two."""
-    buckets = 1 << max(2, math.ceil(math.log2(max(1, len(shingles)) / 8)))
-    at = (mixed(shingles + np.uint64(11)) & np.uint64(buckets - 1)).astype(np.int64)
-    return np.bincount(at, minlength=buckets).astype("<u2").tobytes()
+def sketches(shingles: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Shingles by bucket, up to one a bucket on average; the number of buckets is a power of two, 16 at least."""
+    out, mix = [], mixed(shingles + np.uint64(11))
+    end = np.cumsum(sizes)
+    for lo, hi in zip((end - sizes).tolist(), end.tolist()):
+        buckets = 1 << max(4, (hi - lo - 1).bit_length())
+        at = (mix[lo:hi] & np.uint64(buckets - 1)).astype(np.int64)
+        out.append(np.minimum(np.bincount(at, minlength=buckets), 255).astype(np.uint8).tobytes())
+    return out
 
 
-def least_difference(x: bytes, y: bytes) -> int:
-    """No two sets with these sketches differ by fewer shingles."""
-    a, b = np.frombuffer(x, "<u2").astype(np.int64), np.frombuffer(y, "<u2").astype(np.int64)
-    few = min(len(a), len(b))
-    return int(np.abs(a.reshape(-1, few).sum(axis=0) - b.reshape(-1, few).sum(axis=0)).sum())
+def folded(sketch: np.ndarray, buckets: int) -> np.ndarray:
+    """A sketch (or rows of them) with fewer buckets."""
+    return sketch.astype(np.int32).reshape(*sketch.shape[:-1], -1, buckets).sum(axis=-2)
+
+
+def least_difference(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """No sets with these sketches differ by fewer shingles.  ``y`` may hold several sketches of one length as rows.
+
+    Capped counts only make it less: |min(a, c) - min(b, c)| <= |a - b|, also for sums of them.
+    """
+    few = min(x.shape[-1], y.shape[-1])
+    return np.abs(folded(x, few) - folded(y, few)).sum(axis=-1)
 
 
 def _indexed(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     hot = _hot(docs, text_col, n, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = WordHashes(), set()
-        for b in _batches(batches):
-            sizes, sets, sketches, found = [], [], [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                shingles = _set(text, known, n)
-                own = int(set_hash(shingles))
-                sizes.append(len(shingles))
-                sets.append(own)
-                sketches.append(sketch(shingles))
-                # An equal set of the same task adds no signatures, nor does a row without an id, which links with nothing.
-                found.append(NONE if doc is None or own in seen else signatures(shingles, percent, hot))
-                if doc is not None:
+        index, seen = Index(percent, hot), set()
+        for b in _lots(batches, 500):
+            shingles, sizes, ids = _sets(b.column(1), n)
+            # An equal set of the same task adds no signatures, nor does a row without an id, which links with nothing.
+            fresh = np.zeros(len(ids), bool)
+            for i, (doc, own) in enumerate(zip(b.column(0).to_pylist(), ids.tolist(), strict=True)):
+                if doc is not None and own not in seen:
                     seen.add(own)
+                    fresh[i] = True
             if len(seen) > 500_000:
                 seen.clear()
-            offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([NONE, *found]).view(np.int64)))
+            owner, found = index.signatures(*_some(shingles, sizes, fresh))
+            order = np.argsort(owner, kind="stable")
+            offsets = np.searchsorted(owner[order], np.arange(len(ids) + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[order].view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.int64()),
-                    pa.array(sketches, pa.binary()), lists,
+                    b.column(0), pa.array(sizes.astype(np.int64)), pa.array(ids),
+                    pa.array(sketches(shingles, sizes), pa.binary()), lists,
                 ],
                 names=["doc_id", "n_shingles", "set_id", "sketch", "found"],
             )
@@ -164,49 +243,39 @@ def _indexed(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
     )
 
 
-def _promising(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _promising(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """``pairs`` (a, b: set ids) without those whose sizes and sketches rule a link out."""
-    left = sets.select(F.col("set_id").alias("a"), F.col("size").alias("size_a"), F.col("sketch").alias("sketch_a"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("size").alias("size_b"), F.col("sketch").alias("sketch_b"))
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b")
+    left = known.select(F.col("set_id").alias("a"), F.col("size").alias("size_a"), F.col("sketch").alias("sketch_a"))
+    right = known.select(F.col("set_id").alias("b"), F.col("size").alias("size_b"), F.col("sketch").alias("sketch_b"))
+    fit = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
+    rows = pairs.join(left, "a").join(right, "b").filter(fit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+        for b in batches:
+            sums = b.column("size_a").to_numpy() + b.column("size_b").to_numpy()
             most = ((100 - percent) * sums // (100 + percent)).tolist()
-            both = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), most, strict=True)
-            keep = [least_difference(x, y) <= m for x, y, m in both]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            both = zip(b.column("sketch_a").to_pylist(), b.column("sketch_b").to_pylist(), most, strict=True)
+            keep = [least_difference(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) <= m for x, y, m in both]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of ``pairs`` (a, b: set ids), those whose Jaccard similarity reaches the threshold, counted in whole numbers."""
-    left = texts.select(F.col("set_id").alias("a"), F.col("packed").alias("text_a"))
-    right = texts.select(F.col("set_id").alias("b"), F.col("packed").alias("text_b"))
-    rows = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+    left = sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("y"))
+    # A pair travels with one of its sets; the other is sent once for all its pairs.
+    rows = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, recent, expand = WordHashes(), {}, zstandard.ZstdDecompressor()
-
-        def of(own: int, packed: bytes) -> np.ndarray:
-            if own not in recent:
-                if len(recent) >= 2000:
-                    recent.clear()
-                recent[own] = _set(expand.decompress(packed).decode(), known, n)
-            return recent[own]
-
-        for batch in _batches(batches, 100):
+        for b in _lots(batches, 200):
             keep = []
-            for a, b, text_a, text_b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, y = of(a, text_a), of(b, text_b)
+            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    keep.append((a, b))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[i] for k in keep], pa.int64()) for i in (0, 1)], names=["a", "b"]
-            )
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -216,11 +285,12 @@ def link(
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
-    Equal shingle sets are one set.  Sets that share a signature are compared in two steps: first each with the smallest
-    set it meets, and with the next in hash order, which joins groups of near copies without listing
-    their pairs; then, for every signature whose sets still lie in several components, every pair across components.
-    So every link either is found or lies within a component, and component ids are exact.  Pairs whose sketches
-    differ too much are dropped before their texts are read.  Shingles and sets are compared by 64-bit hashes.
+    Equal shingle sets are one set.  Sets meet under the signatures of :class:`Index`.  A signature of few sets gives all
+    its pairs; one of more gives a pair of each with its smallest set and with the next in hash order, which joins groups
+    of near copies without listing their pairs.  Then, for every signature whose sets still lie in several components,
+    blocks of its sets are compared across components.  So every link either is found or lies within a component, and
+    component ids are exact.  Pairs whose sketches differ too much are dropped before their sets are read; the others are
+    verified shingle by shingle.  Shingles and sets are compared by 64-bit hashes.
 
     Null, empty and blank texts have no shingles and are their own component.  Texts of under ``n`` words are one
     shingle.  Repeated rows and copies share a component.  Rows with a null doc_id link with nothing and have a null
@@ -231,198 +301,203 @@ def link(
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     """The rows of :func:`link` with their set_id."""
-    rows = cut(_indexed(docs, id_col, text_col, n, percent), "jaccard-sets")
-    ids = rows.filter("doc_id is not null and n_shingles > 0")
-    meets = ids.select(F.explode("found").alias("signature"), "set_id")
-    group = Window.partitionBy("signature")
-    shared = meets.select(
-        "signature", "set_id", F.min("set_id").over(group).alias("lo"), F.max("set_id").over(group).alias("hi")
-    ).filter("lo <> hi")
-    shared = cut(shared.drop("hi").distinct(), "jaccard-shared")
-    whole, rows = rows, cut(rows.drop("found"), "jaccard-rows")
-    forget(whole)
+    made = cut(_indexed(docs, id_col, text_col, n, percent), "jaccard-sets")
+    ids = made.filter("doc_id is not null and n_shingles > 0")
+    meets = ids.select(F.explode("found").alias("s"), "set_id").select(
+        F.col("s").bitwiseAND(~1).alias("signature"), "set_id", F.col("s").bitwiseAND(1).cast("byte").alias("gone")
+    )
+    group = Window.partitionBy("signature")  # its rows pass through one sort that spills; they are never held together
+    least = F.min(F.when(F.col("gone") == 0, F.col("set_id"))).over(group)
+    shared = meets.withColumns({"lo": least, "x": F.min("set_id").over(group), "y": F.max("set_id").over(group)})
+    shared = shared.filter("x <> y and lo is not null").groupBy("signature", "set_id").agg(F.min("gone").alias("gone"), F.min("lo").alias("lo"))
+    shared = shared.withColumn("sets", F.count(F.lit(1)).over(group))
+    shared = cut(shared, "jaccard-shared")
+    rows = cut(made.drop("found"), "jaccard-rows")
+    forget(made)
     ids = rows.filter("doc_id is not null and n_shingles > 0")
-    sets = ids.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("size"))
+    sets = ids.groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     meeting = shared.select("set_id").distinct()
-    known = ids.join(meeting, "set_id", "left_semi").groupBy("set_id", F.col("n_shingles").alias("size"), "sketch")
-    known = cut(known.agg(F.min("doc_id").alias("rep")), "jaccard-known")
+    known = ids.join(meeting, "set_id", "left_semi").groupBy("set_id", F.col("n_shingles").alias("size"))
+    known = cut(known.agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "jaccard-known")
     repeated = rows.groupBy("doc_id").count().filter("doc_id is not null and count > 1").limit(1).count() > 0
 
     def linked(pairs: DataFrame) -> DataFrame:
-        pairs = cut(_promising(pairs, known, percent), "jaccard-pairs")
-        texts = _texts(docs, id_col, text_col, pairs, known, n, repeated)
-        found = cut(_verified(pairs, texts, n, percent), "jaccard-links")
-        forget(texts, pairs)
+        near = cut(_promising(pairs, known, percent), "jaccard-pairs")
+        held = _shingled(docs, id_col, text_col, near, known, n, repeated)
+        found = cut(_verified(near, held, percent), "jaccard-links")
+        forget(held, near)
         return found
 
-    first = shared.groupBy(F.col("set_id").alias("b")).agg(F.min("lo").alias("a")).filter("a <> b").select("a", "b")
-    first = cut(first, "jaccard-first")
+    first = cut(_few(shared).unionByName(_chained(shared)).distinct(), "jaccard-first")
     links = linked(first)
-
-    # Once more with the next set in hash order: a group in which only some pairs are linked becomes one component too.
-    step = Window.partitionBy("signature").orderBy(F.xxhash64("set_id", "signature"))
-    following = _open(shared, links, known).withColumn("b", F.lead("set_id").over(step))
-    following = following.withColumn("other", F.lead("component").over(step)).filter("component <> other")
-    tried = following.select(F.least("set_id", "b").alias("a"), F.greatest("set_id", "b").alias("b")).distinct()
-    tried = cut(tried.join(first, ["a", "b"], "left_anti"), "jaccard-next")
-    links = links.unionByName(linked(tried))
-
-    # What is left is compared pair by pair, across components.
-    rest = _open(shared, links, known)
-    large = rest.filter(F.col("sets") > LARGE)
-    own = _texts(docs, id_col, text_col, large.select(F.col("set_id").alias("a"), F.col("set_id").alias("b")), known, n, repeated)
-    fine = cut(_fine(own, n), "jaccard-fine")
-    forget(own)
-    second = _few(rest.filter(F.col("sets") <= LARGE), percent).unionByName(_many(large, fine, percent)).distinct()
-    second = second.join(first.unionByName(tried), ["a", "b"], "left_anti")
-    links = links.unionByName(linked(second))
-
-    labels = components(links).withColumnRenamed("node", "set_id")
-    named = sets.join(labels, "set_id", "left").select(
-        "set_id", "rep", F.coalesce("component", "set_id").alias("component")
-    )
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "component").select("set_id", "component_id")
+    joined = components(links)
+
+    # What is left of signatures with many sets is compared across components.
+    rest = _open(shared.filter(F.col("sets") > SMALL), joined, known)
+    second = _many(rest, percent).join(first, ["a", "b"], "left_anti")
+    more = linked(second)
+    forget(shared, first, rest, links)
+    named = _joined(sets.select("set_id", "rep"), joined, more)
     out = rows.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     own = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), "set_id")
 
 
-def _open(shared: DataFrame, links: DataFrame, known: DataFrame) -> DataFrame:
-    """Members of the signatures whose sets lie in several components: signature, set_id, component, size, sets."""
-    labels = components(links).withColumnRenamed("node", "set_id")
-    at = shared.select("signature", "set_id").join(labels, "set_id", "left")
-    at = at.select("signature", "set_id", F.coalesce("component", "set_id").alias("component"))
-    several = at.groupBy("signature").agg(
-        F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("sets")
+def _joined(sets: DataFrame, joined: DataFrame, more: DataFrame) -> DataFrame:
+    """set_id and component_id (the smallest document), given the components so far and further links."""
+    of = joined.withColumnRenamed("node", "set_id")
+    if not more.isEmpty():  # links between components are few; they are joined as such
+        ends = more.join(joined.alias("x"), F.col("a") == F.col("x.node"), "left").select(
+            F.coalesce("x.component", "a").alias("a"), "b"
+        )
+        ends = ends.join(joined.alias("y"), F.col("b") == F.col("y.node"), "left").select(
+            "a", F.coalesce("y.component", "b").alias("b")
+        )
+        again = components(ends).toDF("part", "wider")
+        at = sets.join(of, "set_id", "left").select("set_id", "rep", F.coalesce("component", "set_id").alias("part"))
+        at = at.join(again, "part", "left").select("set_id", "rep", F.coalesce("wider", "part").alias("component"))
+    else:
+        at = sets.join(of, "set_id", "left").select("set_id", "rep", F.coalesce("component", "set_id").alias("component"))
+    least = at.groupBy("component").agg(F.min("rep").alias("component_id"))
+    return at.join(least, "component").select("set_id", "component_id")
+
+
+def _few(shared: DataFrame) -> DataFrame:
+    """All pairs of signatures of at most SMALL sets, but of two one-deletion neighbours: a, b."""
+    held = shared.filter(F.col("sets") <= SMALL).groupBy("signature")
+    held = held.agg(F.sort_array(F.collect_list(F.struct("set_id", "gone"))).alias("s"))
+    pair = lambda x, y: F.struct(x["set_id"].alias("a"), y["set_id"].alias("b"), (x["gone"] + y["gone"]).alias("gone"))
+    each = F.transform(
+        F.sequence(F.lit(1), F.size("s") - 1),
+        lambda i: F.transform(F.slice("s", i + 1, F.size("s")), lambda y: pair(F.get("s", i - 1), y)),
     )
-    several = several.filter("x <> y").select("signature", "sets")
-    return cut(at.join(several, "signature").join(known.select("set_id", "size"), "set_id"), "jaccard-open")
+    return held.select(F.explode(F.flatten(each)).alias("p")).filter("p.gone < 2").select("p.a", "p.b")
 
 
-def _few(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components of small signatures: at most LARGE / 2 for each member."""
-    l, r = members.alias("l"), members.alias("r")
-    near = (
-        (F.col("l.signature") == F.col("r.signature"))
-        & (F.col("l.set_id") < F.col("r.set_id"))
-        & (F.col("l.component") != F.col("r.component"))
-        & (100 * F.least("l.size", "r.size") >= percent * F.greatest("l.size", "r.size"))
-    )
-    return l.join(r, near).select(F.col("l.set_id").alias("a"), F.col("r.set_id").alias("b"))
+def _chained(shared: DataFrame) -> DataFrame:
+    """Pairs of signatures of more sets, two for each set: with the smallest, and with the next in hash order."""
+    step = Window.partitionBy("signature").orderBy(F.xxhash64("set_id", "signature"))
+    both = shared.filter(F.col("sets") > SMALL).withColumn("next", F.when(F.col("gone") == 0, F.lead("set_id").over(step)))
+    each = both.select("set_id", F.explode(F.array("lo", "next")).alias("other")).filter("other is not null and set_id <> other")
+    return each.select(F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b"))
 
 
-def tokens(shingles: np.ndarray) -> np.ndarray:
-    """A fine sketch: a 16-bit bucket for each shingle, numbered where several fall into one, sorted.
+def _open(shared: DataFrame, joined: DataFrame, known: DataFrame) -> DataFrame:
+    """Members of the signatures whose sets lie in several components.
 
-    Two sets share at least as many tokens as shingles, and hardly more.
-    """
-    bucket = np.sort(mixed(shingles + np.uint64(13)) & np.uint64(0xFFFF)).astype(np.uint32)
-    start = np.flatnonzero(np.diff(bucket, prepend=np.uint32(1 << 20)))
-    nth = np.arange(len(bucket)) - np.repeat(start, np.diff(start, append=len(bucket)))
-    return (bucket | (np.minimum(nth, 0xFFFF).astype(np.uint32) << np.uint32(16))).astype("<u4")
-
-
-def shared_tokens(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
-    """How many tokens each of ``left`` shares with each of ``right``, a lot of ``columns`` tokens at a time."""
-    a, b = np.concatenate([NONE, *left]), np.concatenate([NONE, *right])
-    both = np.intersect1d(a, b)
-    out = np.zeros((len(left), len(right)), np.float32)
-    for at in range(0, len(both), columns):
-        lot = both[at : at + columns]
-        sides = []
-        for side in (left, right):
-            m = np.zeros((len(side), len(lot)), np.float32)
-            for k, x in enumerate(side):
-                found = np.searchsorted(lot, x)
-                found[found == len(lot)] = 0
-                m[k, found[lot[found] == x]] = 1
-            sides.append(m)
-        out += sides[0] @ sides[1].T
-    return out.astype(np.int64)
-
-
-def _many(members: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components of large signatures that the fine sketches (set_id, tokens) allow.
-
-    Members are dealt to blocks of about BLOCK; two blocks meet in one task, which compares sketches and returns only
-    the pairs that pass, so neither a whole signature nor all its pairs are ever in one place.
+    signature, set_id, gone, component, size; main: the signature's least component, sets and others: how many it has in
+    all and outside that component.
     """
-    blocks = F.ceil(F.col("sets") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("set_id", F.lit(5)), blocks).cast("int")
-    met = members.join(fine, "set_id").withColumn("own", own)
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    met = met.select(
-        "signature", "set_id", "component", "size", "tokens", "own",
-        F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-    )
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        held = [np.frombuffer(x, "<u4") for x in pdf["tokens"]]
-        ids, size, home, part = (pdf[c].to_numpy() for c in ("set_id", "size", "component", "own"))
-        left = np.flatnonzero(part == pdf["i"].iloc[0])
-        right = np.flatnonzero(part == pdf["j"].iloc[0])
-        both = shared_tokens([held[k] for k in left], [held[k] for k in right])
-        union = size[left][:, None] + size[right][None, :] - both
-        fit = (100 * both >= percent * union) & (home[left][:, None] != home[right][None, :])
-        if pdf["i"].iloc[0] == pdf["j"].iloc[0]:
-            fit &= ids[left][:, None] < ids[right][None, :]
-        x, y = np.nonzero(fit)
-        x, y = ids[left[x]], ids[right[y]]
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
-
-    return met.groupBy("signature", "i", "j").applyInPandas(compare, "a long, b long").distinct()
-
-
-def _fine(texts: DataFrame, n: int) -> DataFrame:
-    """The fine sketches of ``texts`` (set_id, packed): set_id, tokens."""
+    labels = joined.withColumnRenamed("node", "set_id")
+    at = shared.select("signature", "set_id", "gone").join(labels, "set_id", "left")
+    at = at.select("signature", "set_id", "gone", F.coalesce("component", "set_id").alias("component"))
+    several = at.groupBy("signature", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("signature").agg(
+        F.min("component").alias("main"), F.sum("n").alias("sets"), F.min_by("n", "component").alias("first")
+    )
+    several = several.filter("first < sets").select("signature", "main", "sets", (F.col("sets") - F.col("first")).alias("others"))
+    return cut(at.join(several, "signature").join(known.select("set_id", "size"), "set_id"), "jaccard-open")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, expand = WordHashes(), zstandard.ZstdDecompressor()
-        for b in _batches(batches):
-            texts = (expand.decompress(packed).decode() for packed in b.column(1).to_pylist())
-            out = [tokens(_set(text, known, n)).tobytes() for text in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["set_id", "tokens"])
 
-    return texts.select("set_id", "packed").mapInArrow(run, "set_id long, tokens binary")
+def _many(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components of large signatures that sizes allow: a, b.
 
+    The sets outside a signature's main component meet all its sets, in blocks of about BLOCK of either, so neither a
+    whole signature nor all its pairs are ever in one place.  Signatures with a main component in common are mostly of the
+    same sets and go to the same few tasks, where each pair is given once.
+    """
+    lot = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    place = lambda n, seed: F.pmod(F.xxhash64("set_id", F.lit(seed)), lot(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), lot(n) - 1))
+    row = ["signature", "set_id", "gone", "component", "size", "main"]
+    asking = members.filter("component <> main").select(*row, place("others", 7).alias("i"), every("sets").alias("j"), F.lit(0).alias("side"))
+    asked = members.select(*row, every("others").alias("i"), place("sets", 5).alias("j"), F.lit(1).alias("side"))
+    met = asking.unionByName(asked).repartition("main", F.pmod("signature", F.lit(16))).sortWithinPartitions("signature", "i", "j", "side")
 
-def _texts(
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, found, n = [], 0, [], 0
+        for b in batches:  # a block is carried over until it is whole
+            held.append(b)
+            rows += b.num_rows
+            if rows < 8 * BLOCK:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            key = np.column_stack([table[c].to_numpy() for c in ("signature", "i", "j")])
+            starts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            if len(starts):
+                found.append(_across(table.slice(0, int(starts[-1])), percent))
+                held = table.slice(int(starts[-1])).to_batches()
+                rows = sum(x.num_rows for x in held)
+                n += len(found[-1])
+            if n > 2_000_000:
+                yield _unique(found)
+                found, n = [], 0
+        if held:
+            found.append(_across(pa.Table.from_batches(held), percent))
+        yield _unique(found)
+
+    return met.mapInArrow(run, "a long, b long").distinct()
+
+
+def _unique(found: list[np.ndarray]) -> pa.RecordBatch:
+    pairs = np.unique(np.concatenate([np.zeros(0, "i8,i8"), *found]))
+    return pa.RecordBatch.from_arrays([pa.array(pairs["f0"]), pa.array(pairs["f1"])], names=["a", "b"])
+
+
+def _across(table: pa.Table, percent: int) -> np.ndarray:
+    """Pairs of whole blocks, sorted by block and side: each row of side 0 with each of side 1 of another component."""
+    at = {c: table[c].to_numpy() for c in ("signature", "i", "j", "side", "set_id", "gone", "component", "size", "main")}
+    key = np.column_stack([at[c] for c in ("signature", "i", "j")])
+    edges = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(key)]]).tolist()
+    found = [np.zeros(0, "i8,i8")]
+    for lo, hi in zip(edges, edges[1:]):
+        middle = lo + int(np.searchsorted(at["side"][lo:hi], 1))
+        x, y = slice(lo, middle), slice(middle, hi)
+        size, other = at["size"][x, None], at["size"][None, y]
+        fit = (at["component"][x, None] != at["component"][None, y]) & (at["gone"][x, None] + at["gone"][None, y] < 2)
+        fit &= 100 * np.minimum(size, other) >= percent * np.maximum(size, other)
+        fit &= (at["component"][None, y] == at["main"][None, y]) | (at["set_id"][x, None] < at["set_id"][None, y])
+        i, j = np.nonzero(fit)
+        a, b = at["set_id"][x][i], at["set_id"][y][j]
+        pairs = np.zeros(len(i), "i8,i8")
+        pairs["f0"], pairs["f1"] = np.minimum(a, b), np.maximum(a, b)
+        found.append(pairs)
+    return np.unique(np.concatenate(found))
+
+
+def _shingled(
     docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, known: DataFrame, n: int, repeated: bool
 ) -> DataFrame:
-    """One text of each set in ``pairs``: set_id, packed (zstd, as texts of pairs are shuffled).  Few ids are broadcast to the scan; many are joined by shuffle."""
+    """The sets in ``pairs``: set_id, shingles (sorted, 8 bytes each).
+
+    Few ids are broadcast to the scan; many are joined by shuffle.  Where a doc_id repeats, other texts of it go by their
+    set.
+    """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
     wanted = cut(known.select("set_id", "rep").join(ids, "set_id", "left_semi"), "jaccard-wanted")
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(wanted, "rep")
-    rows = rows.select("set_id", "text")
-
-    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        small = zstandard.ZstdCompressor(level=3)
-        for b in _batches(batches):
-            packed = [small.compress((text or "").encode()) for text in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["set_id", "packed"])
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(few, "rep")
 
-    if repeated:  # a repeated doc_id may bring texts of other sets
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes = WordHashes()
-            for b in _batches(batches):
-                both = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
-                keep = [int(set_hash(_set(text, hashes, n))) == own for own, text in both]
-                yield b.filter(pa.array(keep, pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _lots(batches, 500):
+            shingles, sizes, own = _sets(b.column(1), n)
+            end = np.cumsum(sizes)
+            keep = np.flatnonzero(own == b.column(0).to_numpy())
+            held = [shingles[end[i] - sizes[i] : end[i]].tobytes() for i in keep.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(own[keep]), pa.array(held, pa.binary())], names=["set_id", "shingles"])
 
-        rows = rows.mapInArrow(run, "set_id long, text string").dropDuplicates(["set_id"])
-    return cut(rows.mapInArrow(squeeze, "set_id long, packed binary"), "jaccard-texts")
+    held = rows.select("set_id", "text").mapInArrow(run, "set_id long, shingles binary")
+    out = cut(held.dropDuplicates(["set_id"]) if repeated else held, "jaccard-shingles")
+    forget(wanted)
+    return out
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest doc_id.  All columns stay.
 
-    Rows with a null doc_id stay.  Where a doc_id repeats, rows go by doc_id and shingle set, so another text of the same
-    doc_id stays.
+    Rows with a null doc_id, and null, empty and blank texts, stay; repeated rows stay together or go together.  Where a
+    doc_id repeats, rows go by doc_id and shingle set, so another text of the same doc_id stays.  An empty table gives an
+    empty table.
     """
     found = _labelled(docs, id_col, text_col, n, percent).filter("component_id is not null and doc_id <> component_id")
     losers = found.select(F.col("doc_id").alias("__loser"), F.col("set_id").alias("__lost")).distinct()
@@ -431,10 +506,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
         return docs.join(losers.select("__loser"), F.col(id_col) == F.col("__loser"), "left_anti")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for b in _batches(batches):
-            own = [int(set_hash(_set(text, known, n))) for text in b.column(b.schema.get_field_index(text_col)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.int64())], names=[*b.schema.names, "__set"])
+        for b in _lots(batches, 500):
+            own = _sets(b.column(b.schema.get_field_index(text_col)), n)[2]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own)], names=[*b.schema.names, "__set"])
 
     marked = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__set", LongType())]))
     same = (F.col(id_col) == F.col("__loser")) & (F.col("__set") == F.col("__lost"))
