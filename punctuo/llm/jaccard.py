@@ -412,14 +412,14 @@ def _many(members: DataFrame, percent: int) -> DataFrame:
     row = ["signature", "set_id", "gone", "component", "size", "main"]
     asking = members.filter("component <> main").select(*row, place("others", 7).alias("i"), every("sets").alias("j"), F.lit(0).alias("side"))
     asked = members.select(*row, every("others").alias("i"), place("sets", 5).alias("j"), F.lit(1).alias("side"))
-    met = asking.unionByName(asked).repartition("main", F.pmod("signature", F.lit(16))).sortWithinPartitions("signature", "i", "j", "side")
+    met = asking.unionByName(asked).repartition("main", F.pmod("signature", F.lit(64))).sortWithinPartitions("signature", "i", "j", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows, found, n = [], 0, [], 0
         for b in batches:  # a block is carried over until it is whole
             held.append(b)
             rows += b.num_rows
-            if rows < 8 * BLOCK:
+            if rows < 64 * BLOCK:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
             key = np.column_stack([table[c].to_numpy() for c in ("signature", "i", "j")])
@@ -428,7 +428,7 @@ def _many(members: DataFrame, percent: int) -> DataFrame:
                 found.append(_across(table.slice(0, int(starts[-1])), percent))
                 held = table.slice(int(starts[-1])).to_batches()
                 rows = sum(x.num_rows for x in held)
-                n += len(found[-1])
+                n += len(found[-1][0])
             if n > 2_000_000:
                 yield _unique(found)
                 found, n = [], 0
@@ -439,30 +439,35 @@ def _many(members: DataFrame, percent: int) -> DataFrame:
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
-def _unique(found: list[np.ndarray]) -> pa.RecordBatch:
-    pairs = np.unique(np.concatenate([np.zeros(0, "i8,i8"), *found]))
-    return pa.RecordBatch.from_arrays([pa.array(pairs["f0"]), pa.array(pairs["f1"])], names=["a", "b"])
+def _unique(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    none = np.zeros(0, np.int64)
+    a, b = map(np.concatenate, zip((none, none), *found))
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    fresh = np.ones(len(a), bool)
+    fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return pa.RecordBatch.from_arrays([pa.array(a[fresh]), pa.array(b[fresh])], names=["a", "b"])
 
 
-def _across(table: pa.Table, percent: int) -> np.ndarray:
+def _across(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of whole blocks, sorted by block and side: each row of side 0 with each of side 1 of another component."""
     at = {c: table[c].to_numpy() for c in ("signature", "i", "j", "side", "set_id", "gone", "component", "size", "main")}
     key = np.column_stack([at[c] for c in ("signature", "i", "j")])
     edges = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(key)]]).tolist()
-    found = [np.zeros(0, "i8,i8")]
+    ids, nth = np.unique(at["set_id"], return_inverse=True)
+    found = [np.zeros(0, np.int64)]
     for lo, hi in zip(edges, edges[1:]):
         middle = lo + int(np.searchsorted(at["side"][lo:hi], 1))
         x, y = slice(lo, middle), slice(middle, hi)
         size, other = at["size"][x, None], at["size"][None, y]
         fit = (at["component"][x, None] != at["component"][None, y]) & (at["gone"][x, None] + at["gone"][None, y] < 2)
         fit &= 100 * np.minimum(size, other) >= percent * np.maximum(size, other)
-        fit &= (at["component"][None, y] == at["main"][None, y]) | (at["set_id"][x, None] < at["set_id"][None, y])
+        fit &= (at["component"][None, y] == at["main"][None, y]) | (nth[x, None] < nth[None, y])
         i, j = np.nonzero(fit)
-        a, b = at["set_id"][x][i], at["set_id"][y][j]
-        pairs = np.zeros(len(i), "i8,i8")
-        pairs["f0"], pairs["f1"] = np.minimum(a, b), np.maximum(a, b)
-        found.append(pairs)
-    return np.unique(np.concatenate(found))
+        i, j = nth[x][i], nth[y][j]
+        found.append(np.unique(np.minimum(i, j) * len(ids) + np.maximum(i, j)))
+    pairs = np.unique(np.concatenate(found))
+    return ids[pairs // len(ids)], ids[pairs % len(ids)]
 
 
 def _shingled(

@@ -5,9 +5,11 @@ import random
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from punctuo.llm import exact_dedup, jaccard, repeats, secrets
+from punctuo.llm.shingles import words_of
 
 
 def test_slug_of_any_length_is_allowed(spark):
@@ -47,7 +49,7 @@ def test_common_phrase_is_spread(spark, monkeypatch):
     locate = repeats.locate
 
     def guarded(shard, window):
-        assert shard.groupby("anchor").size().max() <= 1000
+        assert shard.groupby("anchor").size().max() <= repeats.HOT_PLACES
         return locate(shard, window)
 
     monkeypatch.setattr(repeats, "locate", guarded)
@@ -57,10 +59,26 @@ def test_common_phrase_is_spread(spark, monkeypatch):
 
 
 def test_shard_with_more_words_than_letters():
-    rows = [(i % 7, i, " ".join(f"x{i}_{j}" for j in range(20)), i, i) for i in range(60_000)]
-    rows += [(3, -1, "same " * 12 + "same", 1, 2)]
-    got = repeats.locate(pd.DataFrame(rows, columns=["anchor", "piece", "words", "lo", "hi"]), 13)
-    assert got.values.tolist() == [[3, -1, [0], [1]]]
+    rows = [(i % 7, i, i, 0, " ".join(f"x{i}_{j}" for j in range(20))) for i in range(60_000)]
+    rows += [(3, -i, i, i, "same " * 12 + "same") for i in (1, 2)]
+    got = repeats.locate(pd.DataFrame(rows, columns=["anchor", "text", "doc", "first", "words"]), 13)
+    assert got.values.tolist() == [[-2, 2]]
+
+
+def test_pieces_hold_each_window_once():
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abc") for _ in range(n)) for n in (0, 5, 12, 13, 14, 40, 300)] + ["x " * 500, None]
+    words = words_of(pa.array(texts))
+    own, anchors, first, count = repeats.pieces(words.hashes, words.sizes, 13, 5)
+    windows = {}
+    for t, a, f, c in zip(own.tolist(), anchors.tolist(), first.tolist(), count.tolist()):
+        assert 1 <= c <= repeats.LONGEST
+        for i in range(f, f + c):
+            key = tuple((texts[t] or "").split()[i : i + 13])
+            assert len(key) == 13 and windows.setdefault(key, a) == a
+    assert count.sum() == sum(max(0, len((t or "").split()) - 12) for t in texts)
+    text, ends = repeats.joined(words)
+    assert [text[a:b].decode() for a, b in zip(ends, ends[1:])] == [" ".join((t or "").split()) for t in texts]
 
 
 def test_near_dedup_with_null_and_repeated_ids(spark):

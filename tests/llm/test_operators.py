@@ -7,11 +7,12 @@ import zlib
 from array import array
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 
-from punctuo.llm import exact_dedup, jaccard, mixing, packing, repeats, secrets, sharding, top_k, toxicity, url_filter
+from punctuo.llm import exact_dedup, jaccard, mixing, packing, registry, repeats, secrets, sharding, top_k, toxicity, url_filter
 
 KINDS = "doc_id long, text string, source string, rank int, count int"
 RNG = random.Random(5)
@@ -77,16 +78,67 @@ def test_jaccard(docs, none):
 def test_linked_sets_share_a_signature(size):
     rng = np.random.default_rng(size)
     hot = np.zeros(0, np.uint64)
-    for _ in range(20):
+    for turn in range(30):
         x = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
         drop = rng.integers(0, size // 7 + 1)
-        new = rng.integers(0, 2**63, drop).astype(np.uint64)
+        new = rng.integers(0, 2**63, drop if turn % 2 else 0).astype(np.uint64)
         y = np.unique(np.concatenate([x[drop:], new]))
         both = len(np.intersect1d(x, y))
+        flat, sizes = np.concatenate([x, y]), np.array([len(x), len(y)])
+        owner, found = jaccard.Index(75, hot).signatures(flat, sizes)
         if 100 * both >= 75 * (len(x) + len(y) - both):
-            assert set(jaccard.signatures(x, 75, hot).tolist()) & set(jaccard.signatures(y, 75, hot).tolist())
-        assert jaccard.least_difference(jaccard.sketch(x), jaccard.sketch(y)) <= len(x) + len(y) - 2 * both
-        hot = jaccard.signatures(x, 75)
+            mine, other = ({(int(s) & ~1, int(s) & 1) for s in found[owner == i]} for i in (0, 1))
+            assert any((s, 1 - g) in other or (s, 0) in other for s, g in mine)
+        one, two = (np.frombuffer(b, np.uint8) for b in jaccard.sketches(flat, sizes))
+        assert jaccard.least_difference(one, two) <= len(x) + len(y) - 2 * both
+        # Next time all subsets of this x, or some, count as long posting lists.
+        subsets = [part[-1] for part in jaccard.Index(75).subsets(x, np.array([len(x)]))]
+        hot = np.unique(np.concatenate([hot, *subsets]))[:: 1 + turn % 3]
+        x_again = jaccard.Index(75, hot).signatures(x, np.array([len(x)]))[1]
+        assert not set((x_again & ~np.uint64(1)).tolist()) & set(hot.tolist())
+
+
+def test_neighbourhoods_find_all_links(spark):
+    """Every set is a variant of one text, so that its subsets are long posting lists."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(120)]
+    lists = []
+    for _ in range(400):
+        w = list(base)
+        for _ in range(rng.randint(1, 9)):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+        lists.append(w)
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in lists]
+    label = list(range(len(sets)))
+
+    def top(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            both = len(x & sets[j])
+            if 100 * both >= 75 * (len(x) + len(sets[j]) - both):
+                lo, hi = sorted((top(i), top(j)))
+                label[hi] = lo
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lists)], "doc_id long, text string")
+    got = by_id(jaccard.link(docs))
+    want = [top(i) for i in range(len(sets))]
+    assert len(set(want)) > 1
+    assert [got[i]["component_id"] for i in range(len(sets))] == want
+
+
+@pytest.mark.parametrize("name", ["op1_topk", "op3_repeats", "op5_jaccard", "op6_exact"])
+def test_matches_oracle(spark, name):
+    data = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{data}/{t}.parquet')")
+    found = con.execute(registry.ORACLE_SQL[name])
+    columns = [c[0] for c in found.description]
+    got = registry.QUERIES[name](spark, data).select(*columns)
+    assert sorted(map(tuple, got.collect())) == sorted(found.fetchall())
 
 
 def test_repeats(docs, none):
