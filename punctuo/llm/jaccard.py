@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -286,8 +287,8 @@ def link(
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
     Equal shingle sets are one set.  Sets meet under the signatures of :class:`Index`.  A signature of few sets gives all
-    its pairs; one of more gives a pair of each with its smallest set and with the next in hash order, which joins groups
-    of near copies without listing their pairs.  Then, for every signature whose sets still lie in several components,
+    its pairs; one of more gives some pairs of each set, with the smallest and in random chains, which joins groups of near
+    copies without listing their pairs.  Then, for every signature whose sets still lie in several components,
     blocks of its sets are compared across components.  So every link either is found or lies within a component, and
     component ids are exact.  Pairs whose sketches differ too much are dropped before their sets are read; the others are
     verified shingle by shingle.  Shingles and sets are compared by 64-bit hashes.
@@ -332,35 +333,33 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
     links = linked(first)
     joined = components(links)
 
-    # What is left of signatures with many sets is compared across components.
+    # What is left of signatures with many sets is chained once more, then compared across components.
     rest = _open(shared.filter(F.col("sets") > SMALL), joined, known)
-    second = _many(rest, percent).join(first, ["a", "b"], "left_anti")
-    more = linked(second)
-    forget(shared, first, rest, links)
-    named = _joined(sets.select("set_id", "rep"), joined, more)
+    tried = cut(_chains(rest, "main").join(first, ["a", "b"], "left_anti").distinct(), "jaccard-tried")
+    joined = _wider(joined, linked(tried))
+    second = _many(_still_open(rest, joined), percent).join(first.unionByName(tried), ["a", "b"], "left_anti")
+    joined = _wider(joined, linked(second))
+    forget(shared, first, tried, links, rest)
+    at = sets.join(joined.toDF("set_id", "component"), "set_id", "left")
+    at = at.select("set_id", "rep", F.coalesce("component", "set_id").alias("component"))
+    named = at.join(at.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("set_id", "component_id")
     out = rows.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     own = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), "set_id")
 
 
-def _joined(sets: DataFrame, joined: DataFrame, more: DataFrame) -> DataFrame:
-    """set_id and component_id (the smallest document), given the components so far and further links."""
-    of = joined.withColumnRenamed("node", "set_id")
-    if not more.isEmpty():  # links between components are few; they are joined as such
-        ends = more.join(joined.alias("x"), F.col("a") == F.col("x.node"), "left").select(
-            F.coalesce("x.component", "a").alias("a"), "b"
-        )
-        ends = ends.join(joined.alias("y"), F.col("b") == F.col("y.node"), "left").select(
-            "a", F.coalesce("y.component", "b").alias("b")
-        )
-        again = components(ends).toDF("part", "wider")
-        at = sets.join(of, "set_id", "left").select("set_id", "rep", F.coalesce("component", "set_id").alias("part"))
-        at = at.join(again, "part", "left").select("set_id", "rep", F.coalesce("wider", "part").alias("component"))
-    else:
-        at = sets.join(of, "set_id", "left").select("set_id", "rep", F.coalesce("component", "set_id").alias("component"))
-    least = at.groupBy("component").agg(F.min("rep").alias("component_id"))
-    return at.join(least, "component").select("set_id", "component_id")
+def _wider(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """``joined`` (node, component) with further ``links`` (a, b), which are few once they are put between components."""
+    if links.isEmpty():
+        return joined
+    name = lambda end: F.coalesce(F.col(f"{end}{end}.component"), F.col(end)).alias(end)
+    ends = links.join(joined.alias("aa"), F.col("a") == F.col("aa.node"), "left").select(name("a"), "b")
+    ends = ends.join(joined.alias("bb"), F.col("b") == F.col("bb.node"), "left").select("a", name("b"))
+    again = components(ends).toDF("part", "wider")
+    old = joined.join(again, F.col("component") == F.col("part"), "left").select("node", F.coalesce("wider", "component").alias("component"))
+    new = again.join(joined, F.col("part") == F.col("node"), "left_anti").toDF("node", "component")
+    return cut(old.unionByName(new), "jaccard-joined")
 
 
 def _few(shared: DataFrame) -> DataFrame:
@@ -376,98 +375,93 @@ def _few(shared: DataFrame) -> DataFrame:
 
 
 def _chained(shared: DataFrame) -> DataFrame:
-    """Pairs of signatures of more sets, two for each set: with the smallest, and with the next in hash order."""
-    step = Window.partitionBy("signature").orderBy(F.xxhash64("set_id", "signature"))
-    both = shared.filter(F.col("sets") > SMALL).withColumn("next", F.when(F.col("gone") == 0, F.lead("set_id").over(step)))
-    each = both.select("set_id", F.explode(F.array("lo", "next")).alias("other")).filter("other is not null and set_id <> other")
-    return each.select(F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b"))
+    """Some pairs of signatures of more sets: each set with the smallest set it meets, and chains of those that meet it."""
+    of = shared.filter(F.col("sets") > SMALL).groupBy("set_id").agg(F.min("lo").alias("lo")).withColumn("component", F.col("set_id"))
+    star = of.filter("set_id <> lo").select(F.least("set_id", "lo").alias("a"), F.greatest("set_id", "lo").alias("b"))
+    return star.unionByName(_chains(of, "lo"))
+
+
+def _chains(of: DataFrame, group: str, chains: int = 4) -> DataFrame:
+    """Pairs of each set with its next in several random orders of its group, where that is of another component: a, b.
+
+    An order is cut into buckets of about BLOCK, so that no group is sorted as a whole.
+    """
+    of = of.join(of.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("buckets")), group)
+    both = None
+    for seed in range(chains):
+        order = F.xxhash64("set_id", F.lit(seed))
+        step = Window.partitionBy(group, F.pmod(order, "buckets")).orderBy(order, "set_id")
+        some = of.select("set_id", "component", F.lead(F.struct("set_id", "component")).over(step).alias("next"))
+        some = some.filter(F.col("component") != F.col("next.component")).select("set_id", F.col("next.set_id").alias("other"))
+        both = some if both is None else both.unionByName(some)
+    return both.select(F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b"))
 
 
 def _open(shared: DataFrame, joined: DataFrame, known: DataFrame) -> DataFrame:
-    """Members of the signatures whose sets lie in several components.
+    """The sets of signatures that lie in several components, by the least component of their signature.
 
-    signature, set_id, gone, component, size; main: the signature's least component, sets and others: how many it has in
-    all and outside that component.
+    main, set_id, component, size, sketch.
     """
     labels = joined.withColumnRenamed("node", "set_id")
-    at = shared.select("signature", "set_id", "gone").join(labels, "set_id", "left")
-    at = at.select("signature", "set_id", "gone", F.coalesce("component", "set_id").alias("component"))
-    several = at.groupBy("signature", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("signature").agg(
-        F.min("component").alias("main"), F.sum("n").alias("sets"), F.min_by("n", "component").alias("first")
-    )
-    several = several.filter("first < sets").select("signature", "main", "sets", (F.col("sets") - F.col("first")).alias("others"))
-    return cut(at.join(several, "signature").join(known.select("set_id", "size"), "set_id"), "jaccard-open")
+    at = shared.select("signature", "set_id").join(labels, "set_id", "left")
+    at = at.select("signature", "set_id", F.coalesce("component", "set_id").alias("component"))
+    several = at.groupBy("signature").agg(F.min("component").alias("main"), F.max("component").alias("last"))
+    at = at.join(several.filter("main <> last").select("signature", "main"), "signature").select("main", "set_id", "component").distinct()
+    return cut(at.join(known.select("set_id", "size", "sketch"), "set_id"), "jaccard-open")
+
+
+def _still_open(rest: DataFrame, joined: DataFrame) -> DataFrame:
+    """``rest`` with the components of now; home: the component that ``main`` lies in; sets, others: how many ``main`` has
+    in all and outside that component, if any."""
+    at = rest.drop("component").join(joined.toDF("set_id", "component"), "set_id", "left")
+    at = at.join(joined.toDF("main", "home"), "main", "left")
+    at = at.withColumns({"component": F.coalesce("component", "set_id"), "home": F.coalesce("home", "main")})
+    counts = at.groupBy("main").agg(F.count(F.lit(1)).alias("sets"), F.count_if(F.col("component") != F.col("home")).alias("others"))
+    return at.join(counts.filter("others > 0"), "main")
+
+
+def near_by_sketch(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of ``left`` and of ``right`` (size, component, sketch) lie in two components and may be linked."""
+    rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for buckets, at in right.groupby(right["sketch"].map(len)).indices.items():
+        y = np.frombuffer(b"".join(right["sketch"].iloc[at]), np.uint8).reshape(len(at), buckets)
+        size, home = right["size"].to_numpy()[at], right["component"].to_numpy()[at]
+        kept = {buckets: y.astype(np.int16)}
+        for i, (own, part, sketch) in enumerate(zip(left["size"], left["component"], left["sketch"], strict=True)):
+            near = np.flatnonzero((home != part) & (100 * np.minimum(size, own) >= percent * np.maximum(size, own)))
+            if not len(near):
+                continue
+            x = np.frombuffer(sketch, np.uint8)
+            few = min(buckets, len(x))
+            if few not in kept:
+                kept[few] = folded(y, few)
+            gap = np.abs(kept[few][near] - folded(x, few).astype(kept[few].dtype)).sum(axis=1, dtype=np.int64)
+            near = near[gap <= (100 - percent) * (size[near] + own) // (100 + percent)]
+            rows.append(np.full(len(near), i))
+            cols.append(at[near])
+    return np.concatenate(rows), np.concatenate(cols)
 
 
 def _many(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components of large signatures that sizes allow: a, b.
+    """Pairs across components that sizes and sketches allow, among the sets of one ``main``: a, b.
 
-    The sets outside a signature's main component meet all its sets, in blocks of about BLOCK of either, so neither a
-    whole signature nor all its pairs are ever in one place.  Signatures with a main component in common are mostly of the
-    same sets and go to the same few tasks, where each pair is given once.
+    The sets outside the main component meet all its sets, in blocks of about BLOCK of either; a task compares sketches
+    and gives only the pairs that pass, so neither a whole signature nor all its pairs are ever in one place.
     """
     lot = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     place = lambda n, seed: F.pmod(F.xxhash64("set_id", F.lit(seed)), lot(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), lot(n) - 1))
-    row = ["signature", "set_id", "gone", "component", "size", "main"]
-    asking = members.filter("component <> main").select(*row, place("others", 7).alias("i"), every("sets").alias("j"), F.lit(0).alias("side"))
+    row = ["main", "set_id", "component", "size", "sketch"]
+    asking = members.filter("component <> home").select(*row, place("others", 7).alias("i"), every("sets").alias("j"), F.lit(0).alias("side"))
     asked = members.select(*row, every("others").alias("i"), place("sets", 5).alias("j"), F.lit(1).alias("side"))
-    met = asking.unionByName(asked).repartition("main", F.pmod("signature", F.lit(64))).sortWithinPartitions("signature", "i", "j", "side")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows, found, n = [], 0, [], 0
-        for b in batches:  # a block is carried over until it is whole
-            held.append(b)
-            rows += b.num_rows
-            if rows < 64 * BLOCK:
-                continue
-            table = pa.Table.from_batches(held).combine_chunks()
-            key = np.column_stack([table[c].to_numpy() for c in ("signature", "i", "j")])
-            starts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            if len(starts):
-                found.append(_across(table.slice(0, int(starts[-1])), percent))
-                held = table.slice(int(starts[-1])).to_batches()
-                rows = sum(x.num_rows for x in held)
-                n += len(found[-1][0])
-            if n > 2_000_000:
-                yield _unique(found)
-                found, n = [], 0
-        if held:
-            found.append(_across(pa.Table.from_batches(held), percent))
-        yield _unique(found)
-
-    return met.mapInArrow(run, "a long, b long").distinct()
-
-
-def _unique(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    none = np.zeros(0, np.int64)
-    a, b = map(np.concatenate, zip((none, none), *found))
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    fresh = np.ones(len(a), bool)
-    fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return pa.RecordBatch.from_arrays([pa.array(a[fresh]), pa.array(b[fresh])], names=["a", "b"])
-
-
-def _across(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of whole blocks, sorted by block and side: each row of side 0 with each of side 1 of another component."""
-    at = {c: table[c].to_numpy() for c in ("signature", "i", "j", "side", "set_id", "gone", "component", "size", "main")}
-    key = np.column_stack([at[c] for c in ("signature", "i", "j")])
-    edges = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(key)]]).tolist()
-    ids, nth = np.unique(at["set_id"], return_inverse=True)
-    found = [np.zeros(0, np.int64)]
-    for lo, hi in zip(edges, edges[1:]):
-        middle = lo + int(np.searchsorted(at["side"][lo:hi], 1))
-        x, y = slice(lo, middle), slice(middle, hi)
-        size, other = at["size"][x, None], at["size"][None, y]
-        fit = (at["component"][x, None] != at["component"][None, y]) & (at["gone"][x, None] + at["gone"][None, y] < 2)
-        fit &= 100 * np.minimum(size, other) >= percent * np.maximum(size, other)
-        fit &= (at["component"][None, y] == at["main"][None, y]) | (nth[x, None] < nth[None, y])
-        i, j = np.nonzero(fit)
-        i, j = nth[x][i], nth[y][j]
-        found.append(np.unique(np.minimum(i, j) * len(ids) + np.maximum(i, j)))
-    pairs = np.unique(np.concatenate(found))
-    return ids[pairs // len(ids)], ids[pairs % len(ids)]
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = (pdf[pdf["side"] == side].reset_index(drop=True) for side in (0, 1))
+        x, y = near_by_sketch(left, right, percent)
+        x, y = left["set_id"].to_numpy()[x], right["set_id"].to_numpy()[y]
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
+
+    return asking.unionByName(asked).groupBy("main", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
 def _shingled(
