@@ -17,8 +17,10 @@ from punctuo.llm.shingles import Words, grams, whole, words_of
 
 #: Pieces that one automaton serves, about.
 PIECES_PER_SHARD = 20_000
-#: Anchors with more places than this are confirmed and located by single windows instead; see :func:`_hot_starts`.
-HOT_PLACES = 1_000
+#: Anchors whose places would fill half a shard are confirmed and located by single windows; see :func:`_hot_starts`.
+HOT_PLACES = PIECES_PER_SHARD // 2
+#: Recurring windows of such anchors up to this number (24 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_WINDOWS = 200_000
 #: Words that one dictionary of letters holds at most; there are 1,112,063 code points.
 LETTERS = 1_000_000
 #: Windows in a piece at most.
@@ -164,7 +166,7 @@ def _cuts(held: DataFrame, window: int, anchor: int) -> DataFrame:
 
 
 def _windows(held: DataFrame, window: int, anchor: int) -> DataFrame:
-    """The single windows of the other pieces: anchor, mark (a hash of the words), text, doc, start."""
+    """The single windows of the other pieces: anchor, mark (a hash of the words), text, doc, starts (in that text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _lots(batches, 200):
@@ -172,23 +174,28 @@ def _windows(held: DataFrame, window: int, anchor: int) -> DataFrame:
             at = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             own, low = np.repeat(own, count), np.repeat(low, count)
             mark = grams(words.hashes, window)[words.edges[own] + at] if len(at) else np.zeros(0, np.uint64)
-            text, doc = (b.column(c).to_numpy()[own] for c in ("text", "doc"))
+            order = np.lexsort((at, mark, own))
+            own, low, mark, at = own[order], low[order], mark[order], at[order]
+            fresh = np.ones(len(at), bool)
+            fresh[1:] = (own[1:] != own[:-1]) | (mark[1:] != mark[:-1])
+            edges = np.append(np.flatnonzero(fresh), len(at)).astype(np.int32)
+            text, doc = (b.column(c).to_numpy()[own[fresh]] for c in ("text", "doc"))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(low.view(np.int64)), pa.array(mark.view(np.int64)), pa.array(text), pa.array(doc),
-                    pa.array(at.astype(np.int32)),
+                    pa.array(low[fresh].view(np.int64)), pa.array(mark[fresh].view(np.int64)), pa.array(text), pa.array(doc),
+                    pa.ListArray.from_arrays(pa.array(edges), pa.array(at.astype(np.int32))),
                 ],
-                names=["anchor", "mark", "text", "doc", "start"],
+                names=["anchor", "mark", "text", "doc", "starts"],
             )
 
     rows = held.filter(F.size("common") > 0).select("text", "doc", "packed", "common")
-    return rows.mapInArrow(run, "anchor long, mark long, text long, doc long, start int")
+    return rows.mapInArrow(run, "anchor long, mark long, text long, doc long, starts array<int>")
 
 
 def locate(shard: pd.DataFrame, window: int) -> pd.DataFrame:
     """Confirm the passages that several documents of the shard have, compile them, and stream its pieces past them.
 
-    ``shard``: anchor, text, doc, first, words.  Returns text and starts: the windows that an earlier document has.
+    ``shard``: anchor, text, doc, first, words.  Returns text and starts (a list): the windows that an earlier document has.
 
     Windows that occur in two documents or more are confirmed; neighbouring ones of a piece are one passage.  Passages are
     compiled with the first document of each of their windows, as strings of one code point a word, from a dictionary of
@@ -248,20 +255,22 @@ def locate(shard: pd.DataFrame, window: int) -> pd.DataFrame:
     rows = pd.DataFrame({"nth": nth, "text": shard["text"].to_numpy(), "doc": docs, "first": shard["first"].to_numpy()})
     on = rows.merge(hits, on="nth")
     on = on[on["earliest"] < on["doc"]]
-    return pd.DataFrame({"text": on["text"], "start": (on["first"] + on["offset"]).astype(np.int32)})
+    starts = (on["first"] + on["offset"]).groupby(on["text"]).agg(list)
+    return pd.DataFrame({"text": starts.index, "starts": starts.to_numpy()})
 
 
 def _hot_starts(held: DataFrame, window: int, anchor: int) -> DataFrame:
-    """What :func:`locate` finds, for anchors with too many places for a shard: text, start.
+    """What :func:`locate` finds, for anchors with too many places for a shard: text, starts.
 
     Each single window is a key of its own (its anchor and a hash of its words), so equal windows meet while an anchor
     spreads over all tasks.  Their first and last documents are summed up before they are shuffled, and the recurring
-    ones, a row each, are joined to their places, where a window of many places is a skewed join that is dealt anew.
+    ones, a row each, are joined to their texts: by broadcast if they are few, else by a shuffle that deals skew anew.
     """
     windows = _windows(held, window, anchor)
     again = windows.groupBy("anchor", "mark").agg(F.min("doc").alias("earliest"), F.max("doc").alias("last"))
-    again = again.filter("earliest < last").select("anchor", "mark", "earliest")
-    return windows.join(again, ["anchor", "mark"]).filter("earliest < doc").select("text", "start")
+    again = cut(again.filter("earliest < last").select("anchor", "mark", "earliest"), "repeats-windows")
+    few = F.broadcast(again) if again.count() <= BROADCAST_WINDOWS else again
+    return windows.join(few, ["anchor", "mark"]).filter("earliest < doc").select("text", "starts")
 
 
 def _without(rows: DataFrame, window: int) -> DataFrame:
@@ -327,10 +336,10 @@ def remove_repeats(
     forget(chosen)
     shard = F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-number // PIECES_PER_SHARD))))
     starts = _cuts(held, window, anchor).withColumn("shard", shard).groupBy("shard").applyInPandas(
-        lambda pdf: locate(pdf, window), "text long, start int"
+        lambda pdf: locate(pdf, window), "text long, starts array<int>"
     )
     starts = starts.unionByName(_hot_starts(held, window, anchor))
-    starts = starts.groupBy("text").agg(F.collect_set("start").alias("starts"))
+    starts = starts.groupBy("text").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     removed = cut(_without(held.select("text", "packed").join(starts, "text"), window), "repeats-removed")
     forget(held)
     firsts = light.groupBy("text").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("doc"))
