@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,35 +21,19 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 SLOTS = "length long, lo long, hi long, per long, first_sequence long, first_offset long"
 
 
-#: Fixed value: how byte-level BPE cuts a text before merging.
-BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
-def _ranks(path: str) -> dict[bytes, int] | None:
-    """The vocabulary of a byte-level BPE file by bytes, if its ids follow the order of its merges; else None."""
-    spec = json.loads(Path(path).read_text())
-    model, cut_by = spec["model"], spec.get("pre_tokenizer") or {}
-    if model.get("type") != "BPE" or cut_by.get("type") != "ByteLevel" or cut_by.get("add_prefix_space"):
-        return None
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letters = {chr(b): b for b in shown} | {
-        chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))
-    }
-    special = {t["content"] for t in spec.get("added_tokens", ())}
-    words = {w: i for w, i in model["vocab"].items() if w not in special}
-    merged = [words.get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
-    if merged != sorted(merged) or set(words.values()) != set(range(len(words))):
-        return None
-    return {bytes(letters[c] for c in w): i for w, i in words.items()}
+#: A white-space character that separates parts, rare in texts.
+END = "\r"
+#: A space that belongs to the word after it.
+TAKEN = re.compile(r" (?=\S)")
 
 
 class ChunkEncoder:
     """Token ids of whole texts as little-endian 32-bit bytes, remembering the ids of text between single spaces.
 
-    The byte-level pre-tokeniser always starts a new piece at a space that is followed by a character other than white
-    space, so a text cut there can be encoded part by part.  Texts with doubled spaces or marked-up special tokens are
-    encoded whole.  Parts not met before are encoded from the same vocabulary by a library with less cost per call;
-    the first lot of each task is encoded by both, and if they ever differ the slower one does all.
+    A byte-level pre-tokeniser without a normaliser or prefix space always starts a new piece at a space that is followed
+    by a character other than white space, so a text cut there can be encoded part by part.  Parts not met before are
+    encoded many at a time, a line each: a line end between two parts is a piece, and a token, of its own.  Texts with
+    added tokens, and all texts of other tokenisers, are encoded whole.
     """
 
     def __init__(self, path: str, remember: int = 500_000):
@@ -56,46 +41,46 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.remember = Tokenizer.from_file(path), {}, remember
-        ranks = _ranks(path)
-        self.quick = ranks and tiktoken.Encoding(
-            "parts", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}
-        )
-        self.checked = False
+        spec = json.loads(Path(path).read_text())
+        cut_by = spec.get("pre_tokenizer") or {}
+        plain = cut_by.get("type") == "ByteLevel" and not cut_by.get("add_prefix_space") and cut_by.get("use_regex", True)
+        line = self._whole([END])[0]
+        self.line = array("I", line)[0] if plain and not spec.get("normalizer") and len(line) == 4 else None
+        self.added = [t["content"] for t in spec.get("added_tokens", ())]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        if not self.quick:
-            return self._whole(texts)
-        plain = self.quick.encode_ordinary
-        out = [self._whole([t])[0] if "<|" in t else array("I", plain(t)).tobytes() for t in texts]
-        if not self.checked and texts:
-            self.checked = True
-            if out != self._whole(texts):
-                self.quick = None
-                return self._whole(texts)
-        return out
+    def _lines(self, parts: list[str]) -> list[bytes]:
+        """The ids of parts that hold no END, nor white space at either end but for a leading space."""
+        ids = np.array(self.tokenizer.encode_batch_fast([END.join(parts)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(ids == self.line).tolist()
+        return [ids[lo + 1 : hi].tobytes() for lo, hi in zip([-1, *ends], [*ends, len(ids)], strict=True)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = []
-        for text in texts:
-            first, *rest = text.split(" ")
-            if "<|" in text or any(not c or c[0].isspace() for c in rest):
-                parts.append([text])
+        first, rest = {}, []
+        for i, text in enumerate(texts):
+            if self.line is None or any(t in text for t in self.added):
+                first[i] = text
+                rest.append(())
             else:
-                parts.append([first, *[" " + c for c in rest]])
+                first[i], *more = TAKEN.split(text)
+                rest.append(more)
         if len(self.known) > self.remember:
             self.known.clear()
-        known = self.known
-        missing = list({c for p in parts for c in p if c not in known})
-        long_texts = {c for c in missing if len(c) > 200}
-        for lot in range(0, len(missing), 20_000):
-            some = missing[lot : lot + 20_000]
-            known.update(zip(some, self._encode(some), strict=True))
-        out = [b"".join([known[c] for c in p]) for p in parts]
-        for c in long_texts:
-            del known[c]
+        known = self.known  # ids of " " + part, by part
+        missing = set().union(*rest) - known.keys()
+        lines = [c for c in missing if c.strip() == c and END not in c]
+        for at in range(0, len(lines), 1000):
+            some = lines[at : at + 1000]
+            known.update(zip(some, self._lines([" " + c for c in some]), strict=True))
+        alone = [c for c in missing if c not in known]
+        known.update(zip(alone, self._whole([" " + c for c in alone]), strict=True))
+        starts = self._whole(list(first.values()))
+        out = [b"".join([start, *map(known.__getitem__, more)]) for start, more in zip(starts, rest, strict=True)]
+        for c in missing:
+            if len(c) > 200:
+                del known[c]
         return out
 
 
