@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import string
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,12 +20,8 @@ KINDS = (
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: class, which strings are in it (the first that fits counts), its characters, least entropy of a window in bits
-CLASSES = (
-    ("hex", r"^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdefABCDEF", 2.9),
-    ("alnum", r"^[A-Za-z0-9]+$", string.ascii_letters + string.digits, 3.5),
-    ("base64", r"^.+$", string.ascii_letters + string.digits + "+/_=-", 3.6),
-)
+#: class, which strings are in it (the first that fits counts), least entropy of a window in bits
+CLASSES = (("hex", r"^([0-9a-f]+|[0-9A-F]+)$", 2.9), ("alnum", r"^[A-Za-z0-9]+$", 3.5), ("base64", r"^.+$", 3.6))
 #: Candidates that are no secrets: words without a digit, numbers, paths of words, rulers.  Java matches a repeated group
 #: by recursion, a call a repeat, unless it is possessive; a part ends at a separator, so giving back would find no more.
 ALLOW = (r"^[A-Za-z_/=-]+$", r"^[0-9_/=+-]+$", r"(?i)example|sample|placeholder", r"^(.)\1+$", r"(?i)^[a-z]+(?:[_/-](?:[a-z]+|[0-9]{1,4}))++$")
@@ -34,7 +30,8 @@ ALLOW = (r"^[A-Za-z_/=-]+$", r"^[0-9_/=+-]+$", r"(?i)example|sample|placeholder"
 def spans(text: Column, kind: str, order: int, pattern: str, group: int, least: int) -> Column:
     """Matches as array<struct<start, ord, end, kind, value>>, in code points, end exclusive.
 
-    Positions are running sums of the lengths of what ``split`` leaves between the matches and of the matches.
+    Positions are sums of the lengths of what ``split`` leaves between the matches and of the matches, which are taken in
+    blocks of about the square root of their number, so that many matches are not copied once for each.
     """
     full = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
@@ -51,54 +48,62 @@ def spans(text: Column, kind: str, order: int, pattern: str, group: int, least:
         kept = F.when(F.length(p["value"]) >= least, F.concat(acc["found"], F.array(found))).otherwise(acc["found"])
         return F.struct(end.alias("at"), kept.alias("found"))
 
+    def block(acc: Column, some: Column) -> Column:
+        start = F.struct(acc["at"].alias("at"), none.alias("found"))
+        own = F.aggregate(some, start, step)
+        return F.struct(own["at"].alias("at"), F.concat(acc["found"], own["found"]).alias("found"))
+
+    size = F.greatest(F.ceil(F.sqrt(F.size(full))), F.lit(1)).cast("int")
+    number = F.ceil(F.size(full) / size).cast("int")
+    blocks = F.transform(
+        F.array(pairs), lambda p: F.transform(F.sequence(F.lit(1), number), lambda i: F.slice(p, (i - 1) * size + 1, size))
+    )
     start = F.struct(F.lit(0).alias("at"), none.alias("found"))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda acc: acc["found"])).otherwise(none)
+    return F.when(text.rlike(pattern), F.aggregate(blocks[0], start, block, lambda acc: acc["found"])).otherwise(none)
 
 
-def window_entropy(value: Column, alphabet: str, window: int) -> Column:
-    """Largest Shannon entropy in bits of any ``window`` consecutive characters, which are all in ``alphabet``.
+def window_entropy(value: Column, window: int) -> Column:
+    """Largest Shannon entropy in bits of any ``window`` consecutive characters.
 
-    One pass; the counts of the characters in the window and the sum of c log2 c change by the one that enters and the
-    one that leaves.
+    One pass over the characters; the sum of c log2 c over the counts of the window changes by the one that enters and the
+    one that leaves, whose counts are taken in the window alone, so a step costs the same whatever the length.
     """
-
-    def term(c: Column) -> Column:
-        return F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
-
-    def step(acc: Column, i: Column) -> Column:
-        enters = F.instr(F.lit(alphabet), F.substr(value, i, F.lit(1)))
-        leaves = F.when(i > window, F.instr(F.lit(alphabet), F.substr(value, i - window, F.lit(1)))).otherwise(0)
-        same = enters == leaves
-        more = F.element_at(acc["counts"], enters)
-        less = F.when(leaves > 0, F.element_at(acc["counts"], F.greatest(leaves, F.lit(1)))).otherwise(0)
-        total = acc["total"] + F.when(
-            same, F.lit(0.0)
-        ).otherwise(term(more + 1) - term(more) + F.when(leaves > 0, term(less - 1) - term(less)).otherwise(F.lit(0.0)))
-        counts = F.transform(
-            acc["counts"], lambda c, k: c + F.when(k + 1 == enters, 1).otherwise(0) - F.when(k + 1 == leaves, 1).otherwise(0)
-        )
-        now = F.log2(F.lit(float(window))) - total / window
-        return F.struct(
-            counts.alias("counts"),
-            total.alias("total"),
-            F.when(i >= window, F.greatest(acc["best"], now)).otherwise(acc["best"]).alias("best"),
+    terms = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)])
+    term = lambda c: F.get(terms, c)
+
+    def of(chars: Column) -> Column:
+        def count(lo: Column, n: int, c: Column) -> Column:
+            return F.size(F.filter(F.slice(chars, lo, n), lambda x: x == c))
+
+        def step(acc: Column, i: Column) -> Column:
+            enters, leaves = F.get(chars, i - 1), F.get(chars, i - 1 - window)
+            more = count(i - window + 1, window - 1, enters)
+            less = count(i - window + 1, window - 1, leaves)
+            change = term(more + 1) - term(more) - term(less + 1) + term(less)
+            total = acc["total"] + F.when(enters == leaves, F.lit(0.0)).otherwise(change)
+            return F.struct(total.alias("total"), F.least(acc["least"], total).alias("least"))
+
+        head = F.slice(chars, 1, window)
+        first = F.aggregate(
+            F.array_distinct(head), F.lit(0.0), lambda acc, c: acc + term(F.size(F.filter(head, lambda x: x == c)))
         )
+        start = F.struct(first.alias("total"), first.alias("least"))
+        later = F.when(F.size(chars) > window, F.sequence(F.lit(window + 1), F.size(chars))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(later, start, step, lambda acc: F.lit(math.log2(window)) - acc["least"] / window)
 
-    start = F.struct(
-        F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best")
-    )
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), start, step, lambda acc: acc["best"])
+    # One-element array: the characters are cut out once, not at every step.
+    return F.transform(F.array(F.split(value, "")), of)[0]
 
 
 def suspicious(value: Column, window: int, allow: tuple[str, ...] = ALLOW) -> Column:
-    """Whether a candidate's class finds a window of enough entropy in it and no allow-list pattern fits."""
-    found = F.lit(False)
-    for _, fits, alphabet, least in reversed(CLASSES):
-        found = F.when(value.rlike(fits), window_entropy(value, alphabet, window) >= least).otherwise(found)
+    """Whether a window of a candidate has the entropy that its class asks for and no allow-list pattern fits."""
+    least = F.lit(None).cast("double")
+    for _, fits, enough in reversed(CLASSES):
+        least = F.when(value.rlike(fits), F.lit(enough)).otherwise(least)
     clear = F.lit(False)
     for pattern in allow:
         clear = clear | value.rlike(pattern)
-    return F.when(clear, F.lit(False)).otherwise(found)
+    return F.when(clear, F.lit(False)).otherwise(window_entropy(value, window) >= least)
 
 
 def scan(

@@ -1,8 +1,10 @@
 """Operators on long texts, hot keys and null or repeated ids."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import pandas as pd
 import pyarrow as pa
@@ -99,3 +101,34 @@ def test_exact_dedup_with_null_and_repeated_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = [(r["doc_id"], r["text"]) for r in exact_dedup.keep_one(docs).collect()]
     assert sorted(kept, key=str) == sorted((rows[i] for i in (1, 2, 3, 5)), key=str)
+
+
+def test_entropy_is_that_of_every_window(spark):
+    rng = random.Random(2)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    values = ["".join(rng.choice(letters[: rng.randint(2, 64)]) for _ in range(rng.choice([20, 21, 45, 200]))) for _ in range(200)]
+    values.append("".join(rng.choice(letters) for _ in range(40_000)))
+    terms = lambda v: sum(c / 20 * math.log2(20 / c) for c in Counter(v).values())
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", secrets.window_entropy(F.col("v"), 20).alias("e"))
+    for r in rows.collect():
+        assert abs(r["e"] - max(terms(r["v"][i : i + 20]) for i in range(len(r["v"]) - 19))) < 1e-9
+
+
+def test_base_spans_by_hand(spark):
+    """The kinds of base spans, recomputed with Python's regular expressions, over the smallest table."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    kinds = {
+        "assign": (r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, re.I),
+        "access": (r"AKIA[A-Z0-9]+", 0, 20, 0),
+        "hex": (r"[0-9a-f]+", 0, 24, 0),
+    }
+    want = {}
+    for r in docs.collect():
+        found = []
+        for order, (kind, (pattern, group, least, flags)) in enumerate(kinds.items()):
+            for m in re.finditer(pattern, r["text"] or "", flags):
+                if len(m[group]) >= least:
+                    found.append((m.start(), order, f"{kind}:{m.start()}:{m.end()}"))
+        want[r["doc_id"]] = hashlib.sha256(",".join(x[2] for x in sorted(found)).encode()).hexdigest()
+    got = {r["doc_id"]: r["base_sha256"] for r in secrets.digest(secrets.scan(docs)).collect()}
+    assert got == want
