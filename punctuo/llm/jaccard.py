@@ -25,6 +25,8 @@ NONE, ONE = np.zeros(0, np.uint64), np.uint64(1)
 BROADCAST_IDS = 200_000
 #: A signature with up to SMALL sets is compared pair by pair at once; one with more in blocks of about BLOCK.
 SMALL, BLOCK = 8, 256
+#: Rounds of chains at most, each of four pairs a set; what they leave is compared in full.
+CHAINED = 3
 
 
 def size_bands(size: int, percent: int, step: float) -> list[tuple[int, int]]:
@@ -333,13 +335,20 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
     links = linked(first)
     joined = components(links)
 
-    # What is left of signatures with many sets is chained once more, then compared across components.
-    rest = _open(shared.filter(F.col("sets") > SMALL), joined, known)
-    tried = cut(_chains(rest, "main").join(first, ["a", "b"], "left_anti").distinct(), "jaccard-tried")
-    joined = _wider(joined, linked(tried))
-    second = _many(_still_open(rest, joined), percent).join(first.unionByName(tried), ["a", "b"], "left_anti")
-    joined = _wider(joined, linked(second))
-    forget(shared, first, tried, links, rest)
+    # What is left of signatures with many sets is chained as long as that joins some (CHAINED times at most), then
+    # compared across components.
+    rest, tried, used = _open(shared.filter(F.col("sets") > SMALL), joined, known), first, [shared, first, links]
+    for turn in range(CHAINED):
+        near = _chains(_still_open(rest, joined), "main", 4 * turn).join(tried, ["a", "b"], "left_anti").distinct()
+        near = cut(near, "jaccard-tried")
+        found = linked(near)
+        tried, used = tried.unionByName(near), [*used, near, found]
+        if found.isEmpty():
+            break
+        joined = _wider(joined, found)
+    second = linked(_many(_still_open(rest, joined), percent).join(tried, ["a", "b"], "left_anti"))
+    joined = _wider(joined, second)
+    forget(*used, rest, second)
     at = sets.join(joined.toDF("set_id", "component"), "set_id", "left")
     at = at.select("set_id", "rep", F.coalesce("component", "set_id").alias("component"))
     named = at.join(at.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("set_id", "component_id")
@@ -381,14 +390,15 @@ def _chained(shared: DataFrame) -> DataFrame:
     return star.unionByName(_chains(of, "lo"))
 
 
-def _chains(of: DataFrame, group: str, chains: int = 4) -> DataFrame:
+def _chains(of: DataFrame, group: str, first: int = 0, chains: int = 4) -> DataFrame:
     """Pairs of each set with its next in several random orders of its group, where that is of another component: a, b.
 
     An order is cut into buckets of about BLOCK, so that no group is sorted as a whole.
     """
+    of = of.select(group, "set_id", "component")
     of = of.join(of.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("buckets")), group)
     both = None
-    for seed in range(chains):
+    for seed in range(first, first + chains):
         order = F.xxhash64("set_id", F.lit(seed))
         step = Window.partitionBy(group, F.pmod(order, "buckets")).orderBy(order, "set_id")
         some = of.select("set_id", "component", F.lead(F.struct("set_id", "component")).over(step).alias("next"))
@@ -451,14 +461,16 @@ def _many(members: DataFrame, percent: int) -> DataFrame:
     lot = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     place = lambda n, seed: F.pmod(F.xxhash64("set_id", F.lit(seed)), lot(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), lot(n) - 1))
-    row = ["main", "set_id", "component", "size", "sketch"]
+    row = ["main", "set_id", "component", "home", "size", "sketch"]
     asking = members.filter("component <> home").select(*row, place("others", 7).alias("i"), every("sets").alias("j"), F.lit(0).alias("side"))
     asked = members.select(*row, every("others").alias("i"), place("sets", 5).alias("j"), F.lit(1).alias("side"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = (pdf[pdf["side"] == side].reset_index(drop=True) for side in (0, 1))
         x, y = near_by_sketch(left, right, percent)
+        inner = (right["component"] == right["home"]).to_numpy()[y]  # two others meet twice
         x, y = left["set_id"].to_numpy()[x], right["set_id"].to_numpy()[y]
+        x, y = x[inner | (x < y)], y[inner | (x < y)]
         return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
 
     return asking.unionByName(asked).groupBy("main", "i", "j").applyInPandas(compare, "a long, b long").distinct()
