@@ -2,19 +2,47 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SANE = (-120, 600)
 TRAINING = (-30, 240)
-# Fixed values.
-REASON_CLASSES = {1: (100, 104, 113, 118, 121), 2: (506, 527, 536, 540)}
+# Reason codes by class (1 structural, 2 exogenous), and brand colours by a part of the operator's name, of
+# which the first that fits counts.
+REASON_CLASSES = {1: (163, 166, 168, 148, 171), 2: (100, 131, 134, 180, 185, 139)}
 BRANDS = (
-    ("GREAT WESTERN", "#0a493e"), ("NORTHERN", "#262262"), ("AVANTI", "#004354"), ("LNER", "#ce0e2d"),
-    ("SOUTHEASTERN", "#389cff"), ("SCOTRAIL", "#1e467d"), ("TRANSPENNINE", "#09a4ec"), ("AMERICA", "#b31942"),
-)
+    ("great western", "#0a493e"),
+    ("avanti", "#11354e"),
+    ("south western", "#24398c"),
+    ("southeastern", "#00a3e0"),
+    ("southern", "#8cc63f"),
+    ("thameslink", "#ff5aa7"),
+    ("great northern", "#1d1d4e"),
+    ("gatwick express", "#ec1c24"),
+    ("c2c", "#b7007c"),
+    ("chiltern", "#00bfff"),
+    ("cross country", "#660f21"),
+    ("crosscountry", "#660f21"),
+    ("east midlands", "#713563"),
+    ("greater anglia", "#d70428"),
+    ("hull trains", "#1d1d1b"),
+    ("lumo", "#2b2e83"),
+    ("london north eastern", "#ce0e2d"),
+    ("lner", "#ce0e2d"),
+    ("london overground", "#ee7d11"),
+    ("merseyrail", "#fdb913"),
+    ("northern", "#262262"),
+    ("scotrail", "#1e3a8a"),
+    ("transpennine", "#0a0a64"),
+    ("transport for wales", "#ee2e24"),
+    ("west midlands", "#e07e26"),
+    ("elizabeth line", "#7156a5"),
+    ("heathrow express", "#532e63"),
+    ("grand central", "#1d1d1b"),
+    ("caledonian sleeper", "#1b1b3a"),
+    ("island line", "#1e90ff"),
+    ("stansted express", "#6a1b9a"),
+)
 GREY = "#9aa7b4"
 WEEKDAYS = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
 
@@ -149,15 +177,18 @@ def reason_class(code: Column) -> Column:
 def brand_colour(name: Column) -> Column:
     out = F.lit(GREY)
     for part, colour in reversed(BRANDS):
-        out = F.when(F.upper(name).contains(part), colour).otherwise(out)
+        out = F.when(F.lower(name).contains(part), colour).otherwise(out)
     return out
 
 
 def delay_band_live(delay: Column) -> Column:
+    """A train without a delay counts as on time."""
+    delay = F.coalesce(delay, F.lit(0))
     return F.when(delay <= 1, "on_time").when(delay < 6, "minor").otherwise("late")
 
 
 def delay_band_edge(delay: Column) -> Column:
+    delay = F.coalesce(delay, F.lit(0))
     return F.when(delay <= 1, 0).when(delay <= 4, 1).otherwise(2)
 
 
@@ -198,6 +229,3 @@ def message_class(value: Column) -> Column:
         F.when(value.rlike("[<:](TS|schedule|deactivated)[ >/]"), "keep")
         .when(value.rlike("[<:](association|OW)[ >/]"), "conditional").otherwise("drop")
     )
-
-
-GRADIENT_KM = math.pi * 6371.0 / 180

@@ -23,11 +23,14 @@ def direct_journeys(calls: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.join(pairs, ["from_crs", "to_crs"], "left_semi")
 
 
-def convergence(snapshots: DataFrame, outcomes: DataFrame) -> DataFrame:
-    final = outcomes.filter("final_delay_mins is not null").select("rid", "scheduled_departure", "final_delay_mins")
-    lead = F.floor((S.seconds(F.col("scheduled_departure")) - S.seconds(F.col("snapshotted_at"))) / 60).cast("int")
+def convergence(snapshots: DataFrame, outcomes: DataFrame, rid: str | None = None) -> DataFrame:
+    """Every snapshot of finalised trains (or of one train) against its outcome, largest lead first."""
+    final = outcomes.filter("finalised_at is not null").select("rid", "scheduled_departure", "final_delay_mins")
+    rows = snapshots.filter(F.col("rid") == rid).join(final, "rid") if rid else snapshots.join(final, "rid")
+    lead = (S.seconds(F.col("scheduled_departure")) - S.seconds(F.col("snapshotted_at"))) / 60.0
     error = F.abs(F.col("final_delay_mins") - F.col("predicted_delay_mins"))
-    return snapshots.join(final, "rid").select("rid", lead.alias("lead_mins"), error.alias("abs_error"))
+    found = rows.select("rid", lead.alias("lead_mins"), "predicted_delay_mins", "final_delay_mins", error.alias("abs_error"))
+    return found.orderBy(F.desc("lead_mins")) if rid else found
 
 
 def cheapest_fare(fares: DataFrame, day: str) -> DataFrame:

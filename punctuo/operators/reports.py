@@ -8,9 +8,6 @@ from pyspark.sql.window import Window
 
 from punctuo.functions import scalars as S
 
-DELAY, PREDICTED = F.col, F.col
-
-
 def at(as_of: str) -> Column:
     return F.lit(as_of).cast("timestamp_ntz")
 
@@ -79,33 +76,43 @@ def _journeyed() -> list[Column]:
     ]
 
 
-def operator_league(journeys: DataFrame, operators: DataFrame, outcomes: DataFrame, least: int, top: int) -> DataFrame:
-    found = _with_prediction(journeys.filter("toc is not null"), outcomes).groupBy("toc").agg(*_journeyed())
-    found = found.filter(F.col("n") >= least).join(F.broadcast(operators), "toc", "left")
+def _operated(journeys: DataFrame, as_of: str, hours: int, toc: str | None = None) -> DataFrame:
+    """Journeys finalised in the last ``hours`` with a sane delay, of one operator or of any."""
+    rows = recent(journeys, as_of, hours, "finalised_at", None).filter(S.sane(best_delay()))
+    return rows.filter(F.col("toc") == toc if toc else F.col("toc") != "")
+
+
+def operator_league(
+    journeys: DataFrame, operators: DataFrame, outcomes: DataFrame, as_of: str, hours: int, least: int, top: int
+) -> DataFrame:
+    found = _with_prediction(_operated(journeys, as_of, hours), outcomes).groupBy("toc").agg(*_journeyed())
+    found = found.filter(F.col("n") >= least).join(operators, "toc", "left")
     return found.select(
         "toc", F.coalesce("name", "toc").alias("name"), F.coalesce("brand_color", F.lit(S.GREY)).alias("brand_color"),
         "on_time_pct", "mean_delay", "mae", "n",
     ).orderBy(F.col("on_time_pct").desc_nulls_last(), "toc").limit(top)
 
 
-def operator_detail(journeys: DataFrame, outcomes: DataFrame, toc: str) -> DataFrame:
-    return _with_prediction(journeys.filter(F.col("toc") == toc), outcomes).agg(*_journeyed())
+def operator_detail(journeys: DataFrame, outcomes: DataFrame, toc: str, as_of: str, hours: int) -> DataFrame:
+    return _with_prediction(_operated(journeys, as_of, hours, toc), outcomes).agg(*_journeyed())
 
 
-def operator_daily_series(journeys: DataFrame, outcomes: DataFrame, toc: str) -> DataFrame:
-    day = S.london_day(F.col("scheduled_departure")).alias("day")
-    return _with_prediction(journeys.filter(F.col("toc") == toc), outcomes).groupBy(day).agg(*_journeyed())
+def operator_daily_series(journeys: DataFrame, toc: str, as_of: str, hours: int) -> DataFrame:
+    rows = _operated(journeys, as_of, hours, toc).groupBy(S.london_day(F.col("finalised_at")).alias("day"))
+    return rows.agg(
+        S.on_time_pct(best_delay(), 5).alias("on_time_pct"), F.avg(best_delay().cast("double")).alias("mean_delay"),
+        F.count(F.lit(1)).alias("n"),
+    )
 
 
-def operator_delay_distribution(journeys: DataFrame, toc: str) -> DataFrame:
+def operator_delay_distribution(journeys: DataFrame, toc: str, as_of: str, hours: int) -> DataFrame:
     """Bands 0, 1, 6, 16, 31, 61 by their least delay; upper ends belong to a band."""
     label = S.band(best_delay(), (0, 5, 15, 30, 60), True, 0, (1, 6, 16, 31, 61))
-    rows = journeys.filter((F.col("toc") == toc) & best_delay().isNotNull())
-    return rows.groupBy(label.alias("band")).agg(F.count(F.lit(1)).alias("n"))
+    return _operated(journeys, as_of, hours, toc).groupBy(label.alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def operator_routes(journeys: DataFrame, toc: str, top: int) -> DataFrame:
-    rows = journeys.filter(F.col("toc") == toc).groupBy("origin_tpl", "destination_tpl")
+def operator_routes(journeys: DataFrame, toc: str, as_of: str, hours: int, top: int) -> DataFrame:
+    rows = _operated(journeys, as_of, hours, toc).groupBy("origin_tpl", "destination_tpl")
     found = rows.agg(
         S.on_time_pct(best_delay(), 5).alias("on_time_pct"), F.avg(best_delay().cast("double")).alias("mean_delay"),
         F.count(F.lit(1)).alias("n"),
@@ -113,40 +120,45 @@ def operator_routes(journeys: DataFrame, toc: str, top: int) -> DataFrame:
     return found.orderBy(F.col("mean_delay").desc_nulls_last(), "origin_tpl", "destination_tpl").limit(top)
 
 
-def operator_highlights(journeys: DataFrame, operators: DataFrame, least: int = 20, top: int = 6) -> DataFrame:
+def operator_highlights(
+    journeys: DataFrame, operators: DataFrame, as_of: str, hours: int, least: int = 20, top: int = 6
+) -> DataFrame:
     """No sanity filter; a journey without a delay counts as late."""
     late = F.avg(F.when(best_delay() <= 5, 1.0).otherwise(0.0))
-    found = journeys.filter("toc is not null").groupBy("toc").agg((100.0 * late).alias("on_time_pct"), F.count(F.lit(1)).alias("n"))
-    found = found.filter(F.col("n") >= least).join(F.broadcast(operators), "toc", "left")
+    rows = recent(journeys, as_of, hours, "scheduled_departure", None).filter("toc <> ''").groupBy("toc")
+    found = rows.agg((100.0 * late).alias("on_time_pct"), F.count(F.lit(1)).alias("n"))
+    found = found.filter(F.col("n") >= least).join(operators, "toc", "left")
     found = found.select("toc", F.coalesce("name", "toc").alias("name"), "on_time_pct", "n")
     return found.orderBy(F.col("on_time_pct").desc(), "toc").limit(top)
 
 
-def _finalised(outcomes: DataFrame) -> DataFrame:
+def _finalised(outcomes: DataFrame, as_of: str | None = None, hours: int = 0) -> DataFrame:
+    """Outcomes with a sane final delay, of the last ``hours`` if ``as_of`` is given."""
+    outcomes = recent(outcomes, as_of, hours, "finalised_at", None) if as_of else outcomes
     return outcomes.filter(F.col("final_delay_mins").isNotNull() & S.sane(F.col("final_delay_mins")))
 
 
-def calibration_curve(outcomes: DataFrame) -> DataFrame:
+def calibration_curve(outcomes: DataFrame, as_of: str, hours: int) -> DataFrame:
     p, f = F.col("predicted_delay_mins"), F.col("final_delay_mins")
     label = S.band(p, (0, 5, 15, 30, 60), True, 0, (1, 6, 16, 31, 61)).alias("band")
-    return _finalised(outcomes).groupBy(label).agg(
+    return _finalised(outcomes, as_of, hours).groupBy(label).agg(
         F.avg(p.cast("double")).alias("mean_predicted"), F.avg(f.cast("double")).alias("mean_actual"),
         F.count(F.lit(1)).alias("n"),
     )
 
 
-def confidence_error(outcomes: DataFrame) -> DataFrame:
+def confidence_error(outcomes: DataFrame, as_of: str, hours: int) -> DataFrame:
     c = F.col("prediction_confidence")
     label = F.least(F.floor(c * 5), F.lit(4)).cast("int").alias("band")
-    rows = _finalised(outcomes).filter(c.isNotNull()).groupBy(label)
+    rows = _finalised(outcomes, as_of, hours).filter(c.isNotNull()).groupBy(label)
     return rows.agg(S.mae(F.col("predicted_delay_mins"), F.col("final_delay_mins")).alias("mae"), F.count(F.lit(1)).alias("n"))
 
 
-def error_distribution(outcomes: DataFrame) -> DataFrame:
+def error_distribution(outcomes: DataFrame, as_of: str, hours: int) -> DataFrame:
     """Bands of actual minus predicted; upper ends belong to the next band."""
     error = F.col("final_delay_mins") - F.col("predicted_delay_mins")
     label = S.band(error, (-15, -5, -2, 2, 5, 15), False, -999, (-15, -5, -2, 2, 5, 15))
-    return _finalised(outcomes).groupBy(label.alias("band")).agg(F.count(F.lit(1)).alias("n"))
+    return _finalised(outcomes, as_of, hours).groupBy(label.alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _accuracy() -> list[Column]:
@@ -157,19 +169,20 @@ def _accuracy() -> list[Column]:
     ]
 
 
-def accuracy_over_time(outcomes: DataFrame) -> DataFrame:
-    return _finalised(outcomes).groupBy(S.london_day(F.col("finalised_at")).alias("day")).agg(*_accuracy())
+def accuracy_over_time(outcomes: DataFrame, as_of: str, hours: int) -> DataFrame:
+    return _finalised(outcomes, as_of, hours).groupBy(S.london_day(F.col("finalised_at")).alias("day")).agg(*_accuracy())
 
 
-def accuracy_summary(outcomes: DataFrame) -> DataFrame:
+def accuracy_summary(outcomes: DataFrame, as_of: str, hours: int) -> DataFrame:
     gap = F.col("final_delay_mins") - F.col("predicted_delay_mins")
-    return _finalised(outcomes).agg(
+    return _finalised(outcomes, as_of, hours).agg(
         *_accuracy(), F.sum(F.when(F.abs(gap) <= 5, 1).otherwise(0)).alias("within_5"),
         F.avg(gap.cast("double")).alias("bias"),
     )
 
 
-def leadtime_accuracy(snapshots: DataFrame, outcomes: DataFrame) -> DataFrame:
+def leadtime_accuracy(snapshots: DataFrame, outcomes: DataFrame, as_of: str, hours: int) -> DataFrame:
+    snapshots = recent(snapshots, as_of, hours, "snapshotted_at", None)
     final = _finalised(outcomes).select("rid", "scheduled_departure", "final_delay_mins")
     lead = (S.seconds(F.col("scheduled_departure")) - S.seconds(F.col("snapshotted_at"))) / 60
     label = S.band(lead, (15, 30, 60, 120), False, 0, (15, 30, 60, 120)).alias("band")
@@ -202,14 +215,18 @@ def station_busiest_services(obs: DataFrame, services: DataFrame, as_of: str, ho
         F.stddev_samp(d.cast("double")).alias("std"), S.on_time_pct(d, 0).alias("on_time_pct"),
     )
     label = F.when(F.col("std") < 3, "steady").when(F.col("std") < 8, "variable").otherwise("erratic")
-    found = found.join(F.broadcast(services), "uid", "left").withColumn("reliability", label)
+    found = found.join(services, "uid", "left").withColumn("reliability", label)
     return found.orderBy(F.col("n").desc(), "uid").limit(top)
 
 
-def report_summary(obs: DataFrame) -> DataFrame:
+def _since(obs: DataFrame, since: str) -> DataFrame:
+    return obs.filter((F.col("recorded_at") >= at(since)) & S.sane(F.col("delay_mins")))
+
+
+def report_summary(obs: DataFrame, since: str) -> DataFrame:
     d, p = F.col("delay_mins"), F.col("predicted_delay_mins")
     near = lambda m: 100.0 * F.avg(F.when(F.abs(d - p) <= m, 1.0).when(p.isNotNull(), 0.0))
-    return obs.filter(S.sane(d)).agg(
+    return _since(obs, since).agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct(F.concat_ws("|", "uid", "origin_crs")).alias("services"),
         F.avg(d.cast("double")).alias("mean_delay"), F.avg(p.cast("double")).alias("mean_predicted"),
         S.mae(p, d).alias("mae"), (100.0 * F.avg(F.when(p.isNotNull(), 1.0).otherwise(0.0))).alias("coverage_pct"),
@@ -217,19 +234,19 @@ def report_summary(obs: DataFrame) -> DataFrame:
     )
 
 
-def report_daily(obs: DataFrame) -> DataFrame:
-    return obs.filter(S.sane(F.col("delay_mins"))).groupBy(F.to_date("recorded_at").alias("day")).agg(*_observed())
+def report_daily(obs: DataFrame, since: str) -> DataFrame:
+    return _since(obs, since).groupBy(F.to_date("recorded_at").alias("day")).agg(*_observed())
 
 
-def report_hourly(obs: DataFrame) -> DataFrame:
-    rows = obs.filter(S.sane(F.col("delay_mins"))).groupBy("departure_hour")
+def report_hourly(obs: DataFrame, since: str) -> DataFrame:
+    rows = _since(obs, since).groupBy("departure_hour")
     return rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("delay_mins").cast("double")).alias("mean_delay"))
 
 
-def report_services(obs: DataFrame, top: int = 100) -> DataFrame:
+def report_services(obs: DataFrame, since: str, top: int = 100) -> DataFrame:
     key = ["uid", "weekday", "origin_crs", "departure_hour"]
     share = 100.0 * F.avg(F.when(F.col("predicted_delay_mins").isNotNull(), 1.0).otherwise(0.0))
-    found = obs.filter(S.sane(F.col("delay_mins"))).groupBy(*key).agg(
+    found = _since(obs, since).groupBy(*key).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.col("delay_mins").cast("double")).alias("mean_delay"), share.alias("coverage_pct")
     )
     return found.orderBy(F.col("n").desc(), *key).limit(top)
@@ -282,12 +299,11 @@ def data_by_day(obs: DataFrame) -> DataFrame:
 
 
 def reason_accuracy(outcomes: DataFrame, reasons: DataFrame) -> DataFrame:
-    """Verdicts by whether the prediction called a delay, whether it came, and the reason's class (rid, code)."""
+    """Verdicts by whether the prediction was within 5 minutes and by the class of the recorded reason (rid, code)."""
     rows = _finalised(outcomes).join(reasons, "rid", "left").withColumn("cls", S.reason_class(F.col("code")))
     hit = F.abs(F.col("final_delay_mins") - F.col("predicted_delay_mins")) <= 5
-    late = F.col("final_delay_mins") > 5
     verdict = (
-        F.when(hit & ~late, "clean").when(hit & (F.col("cls") == 1), "earned").when(hit, "coincidental")
+        F.when(hit & (F.col("cls") == 1), "earned").when(hit & (F.col("cls") == 2), "coincidental").when(hit, "clean")
         .when(F.col("cls") == 2, "explained_miss").when(F.col("cls") == 1, "model_error").otherwise("unexplained")
     )
     return rows.groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
@@ -295,17 +311,17 @@ def reason_accuracy(outcomes: DataFrame, reasons: DataFrame) -> DataFrame:
 
 def recent_predictions(outcomes: DataFrame, top: int) -> DataFrame:
     cols = ("rid", "uid", "origin_crs", "predicted_delay_mins", "final_delay_mins")
-    return outcomes.orderBy(F.col("scheduled_departure").desc(), "rid").limit(top).select(*cols)
+    return outcomes.orderBy(F.col("predicted_at").desc(), "rid").limit(top).select(*cols)
 
 
 def recent_settled(outcomes: DataFrame, services: DataFrame, operators: DataFrame, top: int) -> DataFrame:
     rows = outcomes.filter("final_delay_mins is not null").orderBy(F.col("finalised_at").desc(), "rid").limit(top)
-    rows = rows.join(F.broadcast(services.select("uid", "toc")), "uid", "left").join(F.broadcast(operators), "toc", "left")
+    rows = rows.join(services.select("uid", "toc"), "uid", "left").join(operators, "toc", "left")
     return rows.select("rid", "uid", "toc", F.coalesce("name", "toc").alias("operator"), "predicted_delay_mins", "final_delay_mins")
 
 
 def replay_candidates(outcomes: DataFrame, top: int) -> DataFrame:
-    rows = outcomes.filter("final_delay_mins is not null and predicted_delay_mins <> 0 and destination_crs is not null")
+    rows = _finalised(outcomes).filter("predicted_delay_mins <> 0 and destination_crs is not null")
     rows = rows.orderBy(F.col("scheduled_departure").desc(), "rid").limit(top)
     return rows.select("rid", "origin_crs", "destination_crs", "predicted_delay_mins", "final_delay_mins")
 
@@ -327,7 +343,7 @@ def explore(
     if min_delay is not None:
         rows = rows.filter(F.col("delay_mins") >= min_delay)
     if toc or group in ("operator", "destination"):
-        rows = rows.join(F.broadcast(services), "uid", "left")
+        rows = rows.join(services, "uid", "left")
     if toc:
         rows = rows.filter(F.col("toc") == toc)
     key = {
@@ -348,7 +364,7 @@ def explore(
 
 def observation_list(obs: DataFrame, services: DataFrame, limit: int) -> DataFrame:
     rows = obs.orderBy(F.col("recorded_at").desc(), "obs_id").limit(limit)
-    return rows.join(F.broadcast(services), "uid", "left").select(
+    return rows.join(services, "uid", "left").select(
         "obs_id", "uid", "toc", S.weekday_name(F.col("weekday")).alias("day"), S.hour_label(F.col("departure_hour")).alias("hour"),
         F.date_format("recorded_at", "yyyy-MM-dd HH:mm").alias("recorded"), "delay_mins",
     )

@@ -27,9 +27,9 @@ LIST = [
        AND a.trip_id = b.trip_id AND b.call_order > a.call_order
      WHERE (a.location_crs, b.location_crs) IN (('T00001', 'T00002'), ('T00003', 'T00004'), ('T00005', 'T00006'))"""),
     ("convergence_for_rid", lambda v: L.convergence(v.snapshots, v.outcomes), """
-     SELECT rid, CAST(floor(date_diff('second', snapshotted_at, scheduled_departure) / 60) AS INTEGER) AS lead_mins,
-       abs(final_delay_mins - s.predicted_delay_mins) AS abs_error
-     FROM snapshots s JOIN outcomes USING (rid) WHERE final_delay_mins IS NOT NULL"""),
+     SELECT rid, date_diff('second', snapshotted_at, scheduled_departure) / 60e0 AS lead_mins, s.predicted_delay_mins,
+       final_delay_mins, abs(final_delay_mins - s.predicted_delay_mins) AS abs_error
+     FROM snapshots s JOIN outcomes USING (rid) WHERE finalised_at IS NOT NULL"""),
     ("cheapest_fare", lambda v: L.cheapest_fare(v.fares, "1997-06-01"), """
      SELECT origin, destination, price_pence, class FROM (SELECT *, row_number() OVER (PARTITION BY origin, destination
        ORDER BY price_pence, class) AS r FROM fares

@@ -121,14 +121,14 @@ LIST = [
     ("blend_preceding", lambda v: v.outcomes.select("rid", S.blend_preceding(C("predicted_delay_mins"), C("final_delay_mins")).alias("mins")), """
      SELECT rid, CAST(CASE WHEN final_delay_mins IS NULL THEN predicted_delay_mins
        ELSE round(0.6e0 * predicted_delay_mins + 0.4e0 * final_delay_mins) END AS INTEGER) AS mins FROM outcomes"""),
-    ("reason_class", lambda v: v.outcomes.select("rid", S.reason_class(C("rid").cast("long") % 600).alias("class")), """
-     SELECT rid, CASE WHEN CAST(rid AS BIGINT) % 600 IN (100, 104, 113, 118, 121) THEN 1
-       WHEN CAST(rid AS BIGINT) % 600 IN (506, 527, 536, 540) THEN 2 ELSE 0 END AS class FROM outcomes"""),
-    ("brand_colour", lambda v: v.operators.select("toc", S.brand_colour(C("name")).alias("colour")),
-     "SELECT toc, CASE WHEN name LIKE '%AMERICA%' THEN '#b31942' ELSE '#9aa7b4' END AS colour FROM operators"),
+    ("reason_class", lambda v: v.outcomes.select("rid", S.reason_class(C("rid").cast("long") % 200).alias("class")), """
+     SELECT rid, CASE WHEN CAST(rid AS BIGINT) % 200 IN (163, 166, 168, 148, 171) THEN 1
+       WHEN CAST(rid AS BIGINT) % 200 IN (100, 131, 134, 180, 185, 139) THEN 2 ELSE 0 END AS class FROM outcomes"""),
+    ("brand_colour", lambda v: v.stations.select("tpl", S.brand_colour(F.concat(F.element_at(F.array(F.lit("LNER "), F.lit("Great Northern "), F.lit("northern "), F.lit("x ")), (F.substring("tpl", 6, 1).cast("int") % 4 + 1)), "name")).alias("colour")), """
+     SELECT tpl, ['#ce0e2d', '#1d1d4e', '#262262', '#9aa7b4'][CAST(substr(tpl, 6, 1) AS INTEGER) % 4 + 1] AS colour FROM stations"""),
     ("delay_band", lambda v: v.outcomes.select("rid", S.delay_band_live(C("final_delay_mins")).alias("live"), S.delay_band_edge(C("final_delay_mins")).alias("edge")), """
-     SELECT rid, CASE WHEN final_delay_mins <= 1 THEN 'on_time' WHEN final_delay_mins < 6 THEN 'minor' ELSE 'late' END AS live,
-       CASE WHEN final_delay_mins <= 1 THEN 0 WHEN final_delay_mins <= 4 THEN 1 ELSE 2 END AS edge FROM outcomes"""),
+     SELECT rid, CASE WHEN final_delay_mins >= 6 THEN 'late' WHEN final_delay_mins > 1 THEN 'minor' ELSE 'on_time' END AS live,
+       CASE WHEN final_delay_mins > 4 THEN 2 WHEN final_delay_mins > 1 THEN 1 ELSE 0 END AS edge FROM outcomes"""),
     ("best_value", lambda v: v.outcomes.select("rid", F.coalesce("final_delay_mins", "predicted_delay_mins").alias("best")),
      "SELECT rid, coalesce(final_delay_mins, predicted_delay_mins) AS best FROM outcomes"),
     ("labels_format", lambda v: v.observations.select("obs_id", S.weekday_name(C("weekday")).alias("day"), S.hour_label(C("departure_hour")).alias("hour")), """

@@ -27,6 +27,7 @@ SELECT lpad(CAST(o_orderkey AS STRING), 15, '0') AS rid, 'C' || lpad(CAST(o_cust
   'S' || CAST(o_custkey % 7 AS STRING) AS origin_crs,
   'S' || CAST((o_custkey + 1 + o_orderkey % 5) % 7 AS STRING) AS destination_crs,
   o_orderdate + CAST(o_orderkey % 1440 AS INT) * INTERVAL '1' MINUTE AS scheduled_departure,
+  o_orderdate + CAST(o_orderkey % 1440 - o_orderkey % 241 AS INT) * INTERVAL '1' MINUTE AS predicted_at,
   CAST(CAST(floor(o_totalprice) AS BIGINT) % 61 AS INT) - 10 AS predicted_delay_mins,
   CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(o_orderkey % 11 AS DOUBLE) / 10 END AS prediction_confidence,
   CASE WHEN o_orderstatus = 'O' THEN NULL ELSE CAST(CAST(floor(o_totalprice / 7) AS BIGINT) % 71 AS INT) - 15
