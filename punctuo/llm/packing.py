@@ -8,6 +8,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -84,13 +85,19 @@ class ChunkEncoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> ChunkEncoder:
+    """A worker's encoder; tasks of one worker share what it remembers."""
+    return ChunkEncoder(path)
+
+
 def tokenise(
     docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int, end_id: int, lot: int = 200
 ) -> DataFrame:
     """Pieces of at most ``capacity`` ids of every document, its ids followed by ``end_id``; null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = ChunkEncoder(tokenizer)
+        encode = encoder(tokenizer)
         end = array("I", [end_id]).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, lot):
