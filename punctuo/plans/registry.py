@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from punctuo.plans import boards, links, reports, states
+from punctuo.plans import boards, links, live, reports, states
 from punctuo.views import Views, oracle
 
-_ALL = [*reports.LIST, *links.LIST, *boards.LIST, *states.LIST]
+_ALL = [*reports.LIST, *links.LIST, *boards.LIST, *states.LIST, *live.LIST]
 
 QUERIES = {name: (lambda spark, sf_dir, f=f: f(Views(spark, sf_dir))) for name, f, _ in _ALL}
 ORACLE_SQL = {name: oracle(sql) for name, _, sql in _ALL if sql}

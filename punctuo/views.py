@@ -128,6 +128,6 @@ class Views:
         return self.spark.sql("WITH " + ",\n".join(parts) + "\n" + _spark(text))
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name not in VIEWS:
+        if name not in VIEWS and name not in TABLES:
             raise AttributeError(name)
         return self.sql(f"SELECT * FROM {name}")
