@@ -24,16 +24,35 @@ SLOTS = "length long, lo long, hi long, per long, first_sequence long, first_off
 
 #: A white-space character that separates parts, rare in texts.
 END = "\r"
+#: Fixed value: the letter that stands for a space in a byte-level vocabulary; other printable ASCII stands for itself.
+SPACE = "\u0120"
+#: The pieces of a part of printable ASCII without apostrophes: runs of letters, of digits, of other characters.
+RUN = re.compile(r" ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+")
 #: A space that belongs to the word after it.
 TAKEN = re.compile(r" (?=\S)")
 
 
+class Runs(dict):
+    """The ids of single pieces by the tokeniser's own model, which is spared the search for pieces."""
+
+    def __init__(self, tokenizer, remember: int):
+        super().__init__()
+        self.model, self.remember = tokenizer.model, remember
+
+    def __missing__(self, run: str) -> bytes:
+        if len(self) > self.remember:
+            self.clear()
+        self[run] = ids = array("I", [t.id for t in self.model.tokenize(run.replace(" ", SPACE))]).tobytes()
+        return ids
+
+
 class ChunkEncoder:
     """Token ids of whole texts as little-endian 32-bit bytes, remembering the ids of text between single spaces.
 
     A byte-level pre-tokeniser without a normaliser or prefix space always starts a new piece at a space that is followed
     by a character other than white space, so a text cut there can be encoded part by part.  Parts not met before are
-    encoded many at a time, a line each: a line end between two parts is a piece, and a token, of its own.  Texts with
+    encoded many at a time, a line each: a line end between two parts is a piece, and a token, of its own.  Parts of plain
+    ASCII are cut into their runs, which recur more than whole parts, and go to the tokeniser's model.  Texts with
     added tokens, and all texts of other tokenisers, are encoded whole.
     """
 
@@ -47,6 +66,7 @@ class ChunkEncoder:
         plain = cut_by.get("type") == "ByteLevel" and not cut_by.get("add_prefix_space") and cut_by.get("use_regex", True)
         line = self._whole([END])[0]
         self.line = array("I", line)[0] if plain and not spec.get("normalizer") and len(line) == 4 else None
+        self.runs = Runs(self.tokenizer, remember)
         self.added = [t["content"] for t in spec.get("added_tokens", ())]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -71,7 +91,12 @@ class ChunkEncoder:
             self.known.clear()
         known = self.known  # ids of " " + part, by part
         missing = set().union(*rest) - known.keys()
-        lines = [c for c in missing if c.strip() == c and END not in c]
+        lines = []
+        for c in missing:
+            if self.line is not None and c.isascii() and c.isprintable() and " " not in c and "'" not in c:
+                known[c] = b"".join(map(self.runs.__getitem__, RUN.findall(" " + c)))
+            elif c.strip() == c and END not in c:
+                lines.append(c)
         for at in range(0, len(lines), 1000):
             some = lines[at : at + 1000]
             known.update(zip(some, self._lines([" " + c for c in some]), strict=True))
