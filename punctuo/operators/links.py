@@ -41,19 +41,32 @@ def cheapest_fare(fares: DataFrame, day: str) -> DataFrame:
     return rows.select("origin", "destination", "b.price_pence", "b.class")
 
 
+def _slots(obs: DataFrame, within_s: int):
+    """``obs`` in its own time slot of ``within_s`` and, as look-back rows, in the next; and the window that looks back.
+
+    A task sorts one slot of an origin, so neither a long history nor a hot origin is one group.
+    """
+    slot = F.floor(S.seconds(F.col("recorded_at")) / within_s)
+    rows = obs.withColumn("__own", slot).withColumn("__slot", F.explode(F.array(F.col("__own"), F.col("__own") + 1)))
+    order = S.micros(F.col("recorded_at"))
+    w = Window.partitionBy("origin_crs", "__slot").orderBy(order).rangeBetween(-within_s * 1_000_000, -1)
+    return rows, w
+
+
 def asof_preceding(obs: DataFrame, within_s: int = 1200) -> DataFrame:
     """Delay of the last strictly earlier row at the same origin within the window; 0 if there is none or it is of the
     same uid.  A range frame, not a join; of rows at one time the largest obs_id counts."""
-    w = Window.partitionBy("origin_crs").orderBy(S.micros(F.col("recorded_at"))).rangeBetween(-within_s * 1_000_000, -1)
+    rows, w = _slots(obs, within_s)
     row = F.max(F.struct(F.col("recorded_at").alias("t"), F.col("obs_id").alias("i"), F.col("uid").alias("u"), F.col("delay_mins").alias("d"))).over(w)
-    out = obs.withColumn("p", row)
+    out = rows.withColumn("p", row).filter("__own = __slot")
     own = F.coalesce(F.col("p.u") != F.col("uid"), F.lit(False))
     return out.select("obs_id", F.when(own, F.col("p.d")).otherwise(0).alias("preceding_delay"))
 
 
 def station_congestion(obs: DataFrame, within_s: int = 1800) -> DataFrame:
-    w = Window.partitionBy("origin_crs").orderBy(S.micros(F.col("recorded_at"))).rangeBetween(-within_s * 1_000_000, -1)
-    return obs.select("obs_id", F.coalesce(F.avg(F.col("delay_mins").cast("double")).over(w), F.lit(0.0)).alias("congestion"))
+    rows, w = _slots(obs, within_s)
+    mean = F.coalesce(F.avg(F.col("delay_mins").cast("double")).over(w), F.lit(0.0))
+    return rows.withColumn("congestion", mean).filter("__own = __slot").select("obs_id", "congestion")
 
 
 def operator_cascade(obs: DataFrame, least: int = 3) -> DataFrame:
