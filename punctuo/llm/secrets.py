@@ -106,6 +106,29 @@ def suspicious(value: Column, window: int, allow: tuple[str, ...] = ALLOW) -> Co
     return F.when(clear, F.lit(False)).otherwise(window_entropy(value, window) >= least)
 
 
+def outside(c: Column, base: Column, least: int) -> Column:
+    """The parts of candidate ``c`` that no span of ``base`` (by start) covers, of ``least`` characters or more.
+
+    Characters of candidates are ASCII, so code points count them.
+    """
+    inside = F.filter(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+
+    def part(lo: Column, hi: Column) -> Column:
+        value = F.substring(c["value"], lo - c["start"] + 1, hi - lo)
+        return F.struct(lo.alias("start"), c["ord"].alias("ord"), hi.alias("end"), c["kind"].alias("kind"), value.alias("value"))
+
+    def more(acc: Column, hi: Column) -> Column:
+        return F.when(hi - acc["at"] >= least, F.concat(acc["found"], F.array(part(acc["at"], hi)))).otherwise(acc["found"])
+
+    def step(acc: Column, b: Column) -> Column:
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), more(acc, b["start"]).alias("found"))
+
+    none = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string,value:string>>")
+    start = F.struct(c["start"].alias("at"), none.alias("found"))
+    cut = F.aggregate(inside, start, step, lambda acc: more(acc, c["end"]))
+    return F.when(F.size(inside) > 0, cut).otherwise(F.array(c))
+
+
 def scan(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -115,8 +138,8 @@ def scan(
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, base, added (arrays of struct<start, ord, end, kind, value>).
 
-    ``base`` holds the matches of :data:`KINDS` by start and kind; ``added`` the high-entropy strings that overlap none
-    of them (kind ``entropy``).  Null text is empty; empty texts have no spans; a text of any length is one row of one
+    ``base`` holds the matches of :data:`KINDS` by start and kind; ``added`` the high-entropy strings outside them (kind
+    ``entropy``): where base matches lie in a candidate, what is left between them is judged part by part.  Null text is empty; empty texts have no spans; a text of any length is one row of one
     map, nothing is shuffled; repeated rows are scanned again.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -124,10 +147,9 @@ def scan(
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("__text"))
     rows = rows.select("doc_id", F.array_sort(F.concat(*by_kind)).alias("base"), spans(F.col("__text"), "entropy", len(KINDS), CANDIDATE, 0, window).alias("__candidates"))
 
-    def free(c: Column) -> Column:
-        return ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-
-    added = F.filter("__candidates", lambda c: free(c) & suspicious(c["value"], window, allow))
+    candidates = F.flatten(F.transform("__candidates", lambda c: outside(c, F.col("base"), window)))
+    rows = rows.select("doc_id", "base", F.when(F.size("base") > 0, candidates).otherwise(F.col("__candidates")).alias("__parts"))
+    added = F.filter("__parts", lambda c: suspicious(c["value"], window, allow))
     return rows.select("doc_id", "base", added.alias("added"))
 
 

@@ -132,3 +132,27 @@ def test_base_spans_by_hand(spark):
         want[r["doc_id"]] = hashlib.sha256(",".join(x[2] for x in sorted(found)).encode()).hexdigest()
     got = {r["doc_id"]: r["base_sha256"] for r in secrets.digest(secrets.scan(docs)).collect()}
     assert got == want
+
+
+def test_rest_of_a_candidate_is_judged(spark):
+    rng = random.Random(5)
+    key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    access, run = "AKIA" + "Q7" * 8, "0a" * 12
+    texts = {
+        1: f"x {access}/{key} y",  # the rest after a base span
+        2: f"{key}-{run}_{key}",  # the rests around one
+        3: f"{access}/{key[:12]}",  # a rest shorter than the window
+        4: f"{access}/plain-words-without-a-digit",  # a rest on the allow-list
+        5: f"é {key}",  # no base span
+        6: None,
+    }
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.digest(secrets.scan(rows)).collect()}
+    assert got == {
+        1: "access:2:22,entropy:22:63",
+        2: "entropy:0:41,hex:41:65,entropy:65:106",
+        3: "access:0:20",
+        4: "access:0:20",
+        5: "entropy:2:42",
+        6: "",
+    }
