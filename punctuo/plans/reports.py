@@ -170,6 +170,8 @@ LIST = [
      WHERE {W720} AND departure_hour BETWEEN 6 AND 23 AND weekday IN (0, 1) AND toc = 'R1' AND delay_mins >= 0 GROUP BY 1"""),
     ("explore_global", lambda v: R.explore(v.observations, v.services, "none", "1990-01-01 00:00:00", 24, min_delay=601),
      f"SELECT 'all' AS label, {EXPLORED} FROM observations WHERE delay_mins > 600 AND delay_mins < 0"),
+    ("explore_all", lambda v: R.explore(v.observations, v.services, "none", AS_OF, 720), f"""
+     SELECT 'all' AS label, {EXPLORED} FROM observations WHERE {W720}"""),
     ("observation_list", lambda v: R.observation_list(v.observations, v.services, 100), """
      SELECT obs_id, uid, toc, ['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun'][weekday + 1] AS day,
        lpad(CAST(departure_hour AS VARCHAR), 2, '0') || ':00' AS hour, strftime(recorded_at, '%Y-%m-%d %H:%M') AS recorded,
