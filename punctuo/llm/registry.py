@@ -1,4 +1,4 @@
-"""The ten queries over whole tables, and their DuckDB SQL where SQL can express them."""
+"""The numbered queries over whole tables, and their DuckDB SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from punctuo.llm import exact_dedup, jaccard, mixing, packing, repeats, secrets, sharding, top_k, toxicity, url_filter
+from punctuo.llm import exact_dedup, jaccard, mixing, packing, repeats, secrets, sharding, top_k, toxicity, url_filter, warc
 from punctuo.llm.common import table
 
 
@@ -62,11 +62,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages have no time of capture: it is page_id seconds, up to 10^9, after the start of 2024."""
+    second = F.coalesce(F.pmod(F.col("page_id"), F.lit(1_000_000_000)), F.lit(0))
+    captured = F.timestamp_seconds(F.lit(1_704_067_200) + second)
+    found = warc.archive(table(spark, sf_dir, "pages"), captured)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "position")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_topk, op2_mixing, op3_repeats, op4_secrets, op5_jaccard, op6_exact, op7_packing, op8_urls, op9_sharding,
-        op10_toxicity,
+        op10_toxicity, op11_warc,
     )
 }
 
@@ -113,4 +121,20 @@ FROM d LEFT JOIN n USING (doc_id)""",
 SELECT doc_id, max(doc_id) OVER t AS keep_id, count(*) OVER t AS group_size, doc_id = max(doc_id) OVER t AS kept,
   sha256(k) AS text_sha256
 FROM (SELECT doc_id, {_LOWER} AS k FROM documents) WINDOW t AS (PARTITION BY k)""",
+    "op11_warc": """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS body FROM pages),
+d AS (SELECT *, sha1(body) AS h, min(page_id) OVER (PARTITION BY body) AS first, strpos(url, '://') AS cut FROM p),
+k AS (SELECT *, substr(url, cut + 3) AS rest, regexp_extract(substr(url, cut + 3), '^[^/?#]*') AS host FROM d),
+u AS (
+  SELECT *, CASE WHEN cut IS NULL OR cut = 0 THEN coalesce(url, '') ELSE
+    array_to_string(list_reverse(string_split(regexp_replace(translate(host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^www[.]', ''), '.')), ',')
+    || ')' || coalesce(nullif(split_part(substr(rest, length(host) + 1), '#', 1), ''), '/') END AS url_key FROM k)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS INTEGER), 5) AS BIGINT) // (32768 >> CAST(5 * (i % 4) AS INTEGER))) % 32 AS INTEGER) + 1, 1)
+    FOR i IN range(32)], '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to,
+  row_number() OVER (ORDER BY url_key , page_id % 1000000000, page_id) - 1 AS position
+FROM u""",
 }
