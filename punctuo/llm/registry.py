@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from punctuo.llm import exact_dedup, jaccard, mixing, packing, repeats, secrets, sharding, top_k, toxicity, url_filter, warc
+from punctuo.llm import (
+    collocations, exact_dedup, jaccard, mixing, packing, repeats, secrets, sharding, top_k, toxicity, url_filter, warc,
+)
 from punctuo.llm.common import table
 
 
@@ -70,11 +72,15 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "position")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_topk, op2_mixing, op3_repeats, op4_secrets, op5_jaccard, op6_exact, op7_packing, op8_urls, op9_sharding,
-        op10_toxicity, op11_warc,
+        op10_toxicity, op11_warc, op12_collocations,
     )
 }
 
@@ -137,4 +143,21 @@ SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
   CASE WHEN page_id <> first THEN first END AS refers_to,
   row_number() OVER (ORDER BY url_key , page_id % 1000000000, page_id) - 1 AS position
 FROM u""",
+    "op12_collocations": rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM s, range(1, 6) t(k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, k, g, count(*) AS f FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+c AS (SELECT lang, k, g, f AS a, string_split(g, ' ') AS w FROM f WHERE k > 1),
+x AS (SELECT DISTINCT c.lang, c.g FROM c JOIN c d ON d.lang = c.lang AND d.k > c.k AND d.a >= c.a AND contains(' ' || d.g || ' ', ' ' || c.g || ' ')),
+z AS (SELECT c.*, j FROM c ANTI JOIN x USING (lang, g), range(1, 5) t(j) WHERE j < c.k),
+y AS (
+  SELECT z.lang, z.g, a, j, l.f AS l, r.f AS r, n, (1000 * CAST(a AS HUGEINT) * CAST(n AS HUGEINT)) // (CAST(l.f AS HUGEINT) * r.f) AS score
+  FROM z JOIN n USING (lang) JOIN f l ON l.lang = z.lang AND l.g = array_to_string(z.w[:j], ' ')
+  JOIN f r ON r.lang = z.lang AND r.g = array_to_string(z.w[j + 1:], ' ')),
+m AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER o AS rank, g AS phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM m
+WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, g) QUALIFY row_number() OVER o <= 2000""",
 }
