@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from punctuo.llm import (
     collocations, exact_dedup, jaccard, mixing, packing, repeats, secrets, sharding, top_k, toxicity, url_filter, warc,
+    whitening,
 )
 from punctuo.llm.common import table
 
@@ -76,11 +77,15 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_topk, op2_mixing, op3_repeats, op4_secrets, op5_jaccard, op6_exact, op7_packing, op8_urls, op9_sharding,
-        op10_toxicity, op11_warc, op12_collocations,
+        op10_toxicity, op11_warc, op12_collocations, op13_whitening,
     )
 }
 
