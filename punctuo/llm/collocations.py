@@ -56,6 +56,16 @@ class _Chunk:
         piece = np.cumsum(self.words.data[:-8] == 10)[self.words.starts] if len(self.one) else self.owner
         self.follows = (self.owner[1:] == self.owner[:-1]) & (piece[1:] == piece[:-1])
         self.two = mixed(self.one[:-1] * _STEP + self.one[1:])
+        self.three = mixed(self.two[:-1] * _STEP + self.one[2:])
+
+    def pairs(self, two: Sieve) -> np.ndarray:
+        """Whether each word and the next lie in one piece and pass the sieve."""
+        return self.follows & two.fits(self.two)
+
+    def triples(self, two: Sieve) -> np.ndarray:
+        """The words that with the next two are in one piece, both of whose pairs pass the sieve."""
+        on = self.pairs(two)
+        return np.flatnonzero(on[:-1] & on[1:])
 
     def texts(self, at: np.ndarray, size: int) -> list[bytes]:
         """The ``size`` words from each of ``at`` on, joined by one space."""
@@ -66,84 +76,132 @@ class _Chunk:
         return [buf[a:b] if e else b" ".join(buf[a:b].split()) for a, b, e in zip(lo.tolist(), hi.tolist(), even, strict=True)]
 
 
-def _slots(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+class Sieve:
+    """One bit for each of 2**bits slots: whether the grams of ``size`` words that fall in it occur ``least`` times in all.
+
+    What does occur so often always has its bit; others may.
+    """
+
+    def __init__(self, bits: int, packed: bytes):
+        self.bits, self.packed = bits, np.frombuffer(packed, np.uint8)
+
+    def slots(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def fits(self, hashes: np.ndarray) -> np.ndarray:
+        at = self.slots(hashes)
+        return (self.packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
+def _counted(slots: np.ndarray, counts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each slot once with the sum of its counts, which stops at ``least``."""
+    order = np.argsort(slots, kind="stable")
+    slots, counts = slots[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], slots[1:] != slots[:-1]])) if len(slots) else np.zeros(0, np.int64)
+    return slots[first], np.minimum(np.add.reduceat(counts, first) if len(first) else counts, least)
 
 
-def sieve(texts: DataFrame, least: int, bits: int) -> np.ndarray:
-    """One bit for each of 2**bits slots: whether the words and pairs of words that fall in it occur ``least`` times in all.
+def sieve(texts: DataFrame, least: int, bits: int, before: Sieve | None = None) -> Sieve:
+    """The sieve of pairs of words, or, of what passes ``before``, of three words.
 
-    What does occur so often always has its bit; others may.  A task counts in one array, stopping at ``least``; arrays of
-    counts are added slot by slot.  The bits (1 MB for 23) are all that reaches the driver and the tasks.
+    A task tells its slots and their counts in blocks of 65,536; counts are added block by block, one batch at a time.
+    Only the bits (8 MB for 26) reach the driver and the tasks, whatever the texts.
     """
-    blocks = 1 << max(0, bits - 16)
-    width, kind = (1 << bits) // blocks, "<u2" if least < 1 << 16 else "<u4"
+    low = min(bits, 16)
+    held = Sieve(bits, b"")
+    shared = texts.sparkSession.sparkContext.broadcast(before)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int32)
+        slots, counts, more = np.zeros(0, np.int64), np.zeros(0, np.int64), []
         for langs, some in _chunks(batches):
             c = _Chunk(langs, some)
-            for hashes in (c.one, c.two[c.follows]):
-                total += np.bincount(_slots(hashes, bits), minlength=1 << bits).astype(np.int32)
-            np.minimum(total, least, out=total)
-        kept = total.astype(kind).reshape(blocks, width)
-        yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([r.tobytes() for r in kept], pa.binary())], ["block", "counts"])
+            grams = c.two[c.follows] if before is None else c.three[c.triples(shared.value)]
+            more.append(np.unique(held.slots(grams), return_counts=True))
+            if sum(len(m[0]) for m in more) > 4_000_000:
+                slots, counts = _counted(*(np.concatenate(x) for x in zip((slots, counts), *more, strict=True)), least)
+                more = []
+        slots, counts = _counted(*(np.concatenate(x) for x in zip((slots, counts), *more, strict=True)), least)
+        block = slots >> low
+        edge = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])) if len(slots) else np.zeros(1, np.int64)
+        inside, number = (slots & ((1 << low) - 1)).astype("<u2"), counts.astype("<u4")
+        spans = list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
+        arrays = [
+            pa.array([int(block[i]) for i, _ in spans], pa.int32()), pa.array([inside[i:j].tobytes() for i, j in spans], pa.binary()),
+            pa.array([number[i:j].tobytes() for i, j in spans], pa.binary()),
+        ]
+        yield pa.RecordBatch.from_arrays(arrays, ["block", "slots", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                now = total.setdefault(block, np.zeros(width, np.int64))
-                now += np.frombuffer(counts.as_buffer(), kind)
+            for block, slots, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                now = total.setdefault(block, np.zeros(1 << low, np.uint32))
+                at = np.frombuffer(slots.as_buffer(), "<u2")
+                now[at] = np.minimum(now[at] + np.frombuffer(counts.as_buffer(), "<u4"), least)
         bits_of = [np.packbits(t >= least).tobytes() for t in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(bits_of, pa.binary())], ["block", "bits"])
 
-    rows = texts.mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(add, "block int, bits binary")
-    found = {r["block"]: r["bits"] for r in rows.collect()}
-    empty = bytes(width // 8)
-    return np.unpackbits(np.frombuffer(b"".join(bytes(found.get(b, empty)) for b in range(blocks)), np.uint8)).astype(bool)
+    rows = texts.mapInArrow(count, "block int, slots binary, counts binary").repartition("block").mapInArrow(add, "block int, bits binary")
+    found = {r["block"]: bytes(r["bits"]) for r in rows.collect()}
+    none = bytes((1 << low) // 8)
+    return Sieve(bits, b"".join(found.get(b, none) for b in range(1 << (bits - low))))
 
 
-def edges(texts: DataFrame, least: int, bits: int = 23) -> DataFrame:
+def edges(texts: DataFrame, least: int, bits: int = 26) -> DataFrame:
     """The longest gram that starts at each word: (lang, gram, size, weight), summed over all texts (lang, text).
 
     A gram of :data:`LONGEST` words is an edge of the graph, from the node of its first words to that of its last; a shorter
-    one is what is left at the end of a piece.  A word pair that the sieve rules out ends a piece as well, as no phrase
-    that occurs ``least`` times holds it, and words that it rules out are left out.  ``size`` 0 holds the number of all
-    words of a language.  Grams are told apart within a chunk by 64-bit hashes, over all texts by their words.
+    one is what is left at the end of a piece.  Two or three words that the sieves rule out end a piece as well, as no
+    phrase that occurs ``least`` times holds them.  ``size`` 0 holds the number of all words of a language.  Grams are told
+    apart within a task by 64-bit hashes, over all texts by their words.
     """
-    frequent = sieve(texts, least, bits)
-    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(frequent))
+    pairs = sieve(texts, least, bits)
+    shared = texts.sparkSession.sparkContext.broadcast((pairs, sieve(texts, least, bits, pairs)))
+
+    def rows(found: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        out = list(found.values())
+        for i in range(0, len(out), 20_000):
+            lang, gram, size, weight = zip(*out[i : i + 20_000], strict=True)
+            raw = pa.array(gram, pa.binary())
+            text = pa.Array.from_buffers(pa.string(), len(raw), raw.buffers())
+            arrays = [pa.array(lang, pa.string()), text, pa.array(size, pa.int32()), pa.array(weight, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["lang", "gram", "size", "weight"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = np.unpackbits(shared.value).astype(bool)
+        two, three = shared.value
+        found: dict[int, list] = {}
         for langs, some in _chunks(batches):
             c = _Chunk(langs, some)
             n = len(c.one)
             if not n:
                 continue
-            out = [[k, b"", 0, v] for k, v in _per_lang(c).items()]
-            on = c.follows & often[_slots(c.two, bits)]
-            length = np.ones(n + LONGEST, np.int64)
-            for _ in range(LONGEST - 1):
-                length[: n - 1] = 1 + on * length[1:n]
-            length = np.minimum(length[:n], LONGEST)
+            yield from rows({i: [k, b"", 0, v] for i, (k, v) in enumerate(_per_lang(c).items())})
+            pair, triple = np.zeros(n, bool), np.zeros(n, bool)
+            pair[: n - 1] = c.pairs(two)
+            inside = c.triples(two)
+            triple[inside] = three.fits(c.three[inside])
+            length = np.where(pair, 2, 1)
+            for _ in range(LONGEST - 2):
+                length[: n - 1] = np.where(triple[: n - 1], 1 + length[1:], length[: n - 1])
+            length = np.minimum(length, LONGEST)
             gram = np.zeros(n, np.uint64)
             for size in range(1, LONGEST + 1):
-                gram[: n - size + 1] = mixed(gram[: n - size + 1] * _STEP + c.one[size - 1 :])
+                gram[: n - size + 1] = mixed(gram[: n - size + 1] * _STEP + c.one[size - 1 :] + np.uint64(size))
                 at = np.flatnonzero(length == size)
-                if size == 1:
-                    at = at[often[_slots(c.one[at], bits)]]
-                _, first, counts = np.unique(gram[at], return_index=True, return_counts=True)
-                at = at[first]
-                owner = [c.langs[i] for i in c.owner[at].tolist()]
-                out += [[k, g, size, w] for k, g, w in zip(owner, c.texts(at, size), counts.tolist(), strict=True)]
-            for i in range(0, len(out), 20_000):
-                lang, gram_text, size_of, weight = zip(*out[i : i + 20_000], strict=True)
-                raw = pa.array(gram_text, pa.binary())
-                text = pa.Array.from_buffers(pa.string(), len(raw), raw.buffers())
-                arrays = [pa.array(lang, pa.string()), text, pa.array(size_of, pa.int32()), pa.array(weight, pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, ["lang", "gram", "size", "weight"])
+                keys, first, counts = np.unique(gram[at], return_index=True, return_counts=True)
+                keys = keys.tolist()
+                fresh = np.array([k not in found for k in keys], bool)
+                at = at[first[fresh]]
+                texts_of, owner = iter(c.texts(at, size)), iter(c.owner[at].tolist())
+                for key, count, new in zip(keys, counts.tolist(), fresh.tolist(), strict=True):
+                    if new:
+                        found[key] = [c.langs[next(owner)], next(texts_of), size, count]
+                    else:
+                        found[key][3] += count
+            if len(found) > 500_000:
+                yield from rows(found)
+                found = {}
+        yield from rows(found)
 
     return texts.mapInArrow(run, _EDGES).groupBy("lang", "gram", "size").agg(F.sum("weight").alias("weight"))
 
@@ -205,7 +263,7 @@ def paths(found: DataFrame, node_table: DataFrame, least: int) -> DataFrame:
     return whole.select("lang", F.concat(F.split("head", " "), F.col("tail")).alias("words"), "edges", "weight")
 
 
-def counts(texts: DataFrame, least: int = 100, bits: int = 23) -> DataFrame:
+def counts(texts: DataFrame, least: int = 100, bits: int = 26) -> DataFrame:
     """Phrases of 1 to 5 words of ``texts`` (lang, text) that occur ``least`` times: (lang, phrase, size, weight); and
     ``size`` 0, the number of all words of each language.
 
@@ -254,7 +312,7 @@ def scored(table: DataFrame) -> DataFrame:
     return least.select("lang", "phrase", "a", "c.l", "c.r", "c.n", "c.score")
 
 
-def mine(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = 100, top: int = 2000, bits: int = 23) -> DataFrame:
+def mine(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = 100, top: int = 2000, bits: int = 26) -> DataFrame:
     """The ``top`` collocations of each language (a report): lang, rank (from 1), phrase, a, l, r, n, score.
 
     Null texts are empty, null languages ``und``; a language without candidates has no rows; repeated rows count again.

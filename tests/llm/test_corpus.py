@@ -181,7 +181,7 @@ def corpus():
     return rows + [("en", None), (None, ""), ("fr", " ,;\r\n "), ("en", "THE New YORK " * 20_000), ("x", "solo")]
 
 
-@pytest.mark.parametrize("least,top,bits", [(20, 50, 23), (20, 2000, 8), (3, 30, 12), (70_000, 9, 10)])
+@pytest.mark.parametrize("least,top,bits", [(20, 50, 26), (20, 2000, 8), (3, 30, 18), (70_000, 9, 16)])
 def test_collocations(spark, monkeypatch, least, top, bits):
     rows = corpus()
     docs = spark.createDataFrame(rows, "lang string, text string").withColumns({"size": F.lit(1), "weight": F.lit(2), "gram": F.lit("x")})
