@@ -43,6 +43,17 @@ BRANDS = (
     ("island line", "#1e90ff"),
     ("stansted express", "#6a1b9a"),
 )
+# Kinds of message in the order in which they are looked for, and whether a message of the kind is parsed.
+MESSAGE_KINDS = (
+    ("TS", "keep"),
+    ("deactivated", "keep"),
+    ("schedule", "conditional"),
+    ("SF", "conditional"),
+    ("OW", "drop"),
+    ("trainAlert", "drop"),
+    ("Association", "conditional"),
+    ("alarm", "drop"),
+)
 GREY = "#9aa7b4"
 WEEKDAYS = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
 
@@ -224,8 +235,8 @@ def urgency_state(minutes: Column, disrupted: Column, departed: Column) -> Colum
 
 
 def message_class(value: Column) -> Column:
-    """keep, conditional or drop by the first kind of element that the message has, in fixed order."""
-    return (
-        F.when(value.rlike("[<:](TS|schedule|deactivated)[ >/]"), "keep")
-        .when(value.rlike("[<:](association|OW)[ >/]"), "conditional").otherwise("drop")
-    )
+    """keep, conditional or drop by the first kind of :data:`MESSAGE_KINDS` an element's name starts with; drop if none."""
+    out = F.lit("drop")
+    for name, decision in reversed(MESSAGE_KINDS):
+        out = F.when(value.contains(f"<{name}") | value.contains(f":{name}"), decision).otherwise(out)
+    return out
