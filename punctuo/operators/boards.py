@@ -30,6 +30,14 @@ def trimmed_baseline(observations: DataFrame, pattern: list[str]) -> DataFrame:
     return kept.groupBy(*pattern).agg(F.first("n").alias("n"), F.avg("delay_mins").alias("mean_delay"))
 
 
+def with_baseline(rows: DataFrame, earlier: DataFrame, pattern: list[str]) -> DataFrame:
+    """``rows`` with ``baseline``: the trimmed mean of their pattern among ``earlier`` rows, else the mean of all of those."""
+    means = trimmed_baseline(earlier, pattern).select(*pattern, "mean_delay")
+    every = earlier.agg(F.avg("delay_mins").alias("__all"))  # one row
+    found = rows.join(means, pattern, "left").crossJoin(F.broadcast(every))
+    return found.withColumn("baseline", F.coalesce("mean_delay", "__all")).drop("mean_delay", "__all")
+
+
 def stop_pairs(calls: DataFrame, stations: DataFrame) -> DataFrame:
     """Adjacent calls of each journey among those at stations with coordinates."""
     located = calls.join(stations.filter("lat is not null and lon is not null").select("tpl"), "tpl")

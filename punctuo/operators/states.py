@@ -164,3 +164,14 @@ def cancellations(calls: DataFrame) -> DataFrame:
 def calendar_mask(days: DataFrame, key: str, weekday: str) -> DataFrame:
     """Bits of the weekdays that a service runs on, bit 0 = Monday."""
     return days.groupBy(key).agg(F.bit_or(F.expr(f"shiftleft(1, {weekday})")).alias("mask"))
+
+
+def synthetic_stats(rows: DataFrame) -> DataFrame:
+    """Of the latest generation of synthetic history: rows, mean delay and share on time by type of day, 0 where there are none."""
+    d, kinds = F.col("delay_mins").cast("double"), ("good", "average")
+    is_ = lambda k: F.col("day_type") == k
+    none = lambda c: F.coalesce(c, F.lit(0.0))
+    out = [F.count(F.lit(1)).alias("total_rows"), *[F.count_if(is_(k)).alias(f"{k}_rows") for k in kinds]]
+    out += [none(F.avg(F.when(is_(k), d))).alias(f"avg_delay_{k}") for k in kinds]
+    out += [none(100.0 * F.avg(F.when(is_(k), (d <= 0).cast("double")))).alias(f"ontime_pct_{k}") for k in kinds]
+    return rows.groupBy("generation").agg(*out).orderBy(F.col("generation").desc()).limit(1)
