@@ -105,9 +105,11 @@ def _duckdb(text: str) -> str:
 def oracle(sql: str) -> str:
     """DuckDB SQL with the views it may name."""
     views = ",\n".join(f"{name} AS ({_duckdb(text)})" for name, text in VIEWS.items())
-    return f"WITH {views}\n{_duckdb(sql).strip()}" if not sql.lstrip().upper().startswith("WITH ") else (
-        f"WITH {views},\n{_duckdb(sql).strip()[5:]}"
-    )
+    sql = _duckdb(sql).strip()
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if sql.upper().startswith(start):
+            return f"{start}{views},\n{sql[len(start):]}"
+    return f"WITH {views}\n{sql}"
 
 
 class Views:
