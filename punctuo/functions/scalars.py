@@ -127,7 +127,7 @@ def stop_code_suffix(stop: Column) -> Column:
 
 
 def uid_from_trip(trip: Column) -> Column:
-    found = F.regexp_extract(trip, r"^([A-Za-z0-9]{6})[A-Za-z0-9]*(_|$)", 1)
+    found = F.regexp_extract(trip, "^[A-Za-z0-9]{6}", 0)
     return F.when(found != "", found)
 
 
