@@ -165,6 +165,12 @@ def wind_level_training(wind: Column) -> Column:
     return F.when(wind < 20, 0).when(wind < 35, 1).when(wind < 50, 2).otherwise(3)
 
 
+def wind_bin(wind: Column) -> Column:
+    """The training bins of wind, each with its upper end: to 20, 35, 50 and over.  :func:`wind_level_training` puts the ends
+    themselves one bin higher."""
+    return F.when(wind <= 20, 0).when(wind <= 35, 1).when(wind <= 50, 2).otherwise(3)
+
+
 def wind_level_serving(wind: Column, incident: Column) -> Column:
     return F.when(wind > 50, 1).otherwise(0) + F.when(incident, 2).otherwise(0)
 

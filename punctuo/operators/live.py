@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from punctuo.functions import scalars as S
+
 
 def route_filter(calls: DataFrame, watched: list[str]) -> DataFrame:
     """Trains that call at a watched place; none watched keeps all."""
@@ -116,3 +118,74 @@ def cancelled_journeys(calls: DataFrame) -> DataFrame:
         F.bool_and("is_cancelled").alias("all"), F.min_by("tpl", "seq").alias("origin_tpl"), F.max_by("tpl", "seq").alias("destination_tpl")
     )
     return ends.filter("all").select("rid", "origin_tpl", "destination_tpl", F.lit(0).alias("reason_class"))
+
+
+def station_snapshot(trains: DataFrame, stations: DataFrame, as_of: str) -> DataFrame:
+    """Live trains by the station they start at: (place, rid, departure, estimated, delay_mins, platform, is_cancelled, secs_ago,
+    destination, predicted).
+
+    ``trains`` has rid, origin, destination, departure, estimated, reported, predicted, live_platform, planned_platform,
+    is_cancelled and the times estimated_at, reported_at, platform_at, cancelled_at of its fields; ``stations`` has crs and
+    tiploc.  The origin is a code or a tiploc, in capitals or not.  Best values are the live ones, else those predicted or
+    planned; ``secs_ago`` is counted from the newest of the four times, and not below 0.
+    """
+    code = lambda c: F.nullif(F.upper(c), F.lit(""))
+    codes = stations.select(F.col("crs").alias("place"), F.explode(F.array_distinct(F.array(code("crs"), code("tiploc")))).alias("code"))
+    newest = F.greatest(*[S.seconds(F.col(c)) for c in ("estimated_at", "reported_at", "platform_at", "cancelled_at")])
+    rows = trains.withColumn("code", F.upper("origin")).join(codes.filter("code is not null"), "code")
+    return rows.select(
+        "place", "rid", "departure", "estimated", F.coalesce("reported", "predicted").alias("delay_mins"), F.coalesce("live_platform", "planned_platform").alias("platform"),
+        "is_cancelled", F.greatest(F.lit(0), S.seconds(F.lit(as_of)) - newest).alias("secs_ago"), "destination", "predicted",
+    )
+
+
+def station_board(timetable: DataFrame, live: DataFrame, names: DataFrame, within_s: int = 120) -> DataFrame:
+    """Departures of all stations: planned ones (place, uid, call_order, departure, platform) with the first live train
+    (:func:`station_snapshot`) within ``within_s`` seconds, and live ones of stations that have none planned.
+
+    The live train's rid, delay, estimate, cancellation and platform win; a planned row without one goes by its uid, and its
+    platform is marked as planned.  ``names`` (code, name) has names by crs and by tiploc; only planned rows are named, live
+    ones alone keep their code.  Both sides are dealt into slots of ``within_s``; ties go to the smaller rid.
+    """
+    at = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    slot = F.floor(at("departure") / within_s)
+    fields = ["estimated", "delay_mins", "platform", "is_cancelled", "secs_ago", "destination", "predicted"]
+    held = live.select("place", slot.alias("slot"), F.struct(F.col("departure").alias("live_at"), "rid", *fields).alias("l"))
+    key = ["place", "uid", "call_order", "departure"]
+    asked = timetable.select(*key).distinct().withColumn("slot", F.explode(F.array(*[slot + k for k in (-1, 0, 1)])))
+    met = asked.join(held, ["place", "slot"]).filter(F.abs(at("l.live_at") - at("departure")) <= within_s)
+    # Struct comparison looks at the departure and then at the rid, which is a train's own.
+    first = met.groupBy(*key).agg(F.min_by("l", F.struct("l.live_at", "l.rid")).alias("l"))
+    same = [F.col(f"t.{c}").eqNullSafe(F.col(f"f.{c}")) for c in key]
+    rows = timetable.alias("t").join(first.alias("f"), same, "left").select("t.*", "f.l")
+    rows = rows.join(names.select(F.col("code").alias("__code"), F.col("name").alias("destination_name")), F.col("l.destination") == F.col("__code"), "left")
+    board = rows.select(
+        "place", "departure", F.coalesce("l.rid", F.trim("uid")).alias("rid"), "l.estimated", "l.delay_mins", F.coalesce("l.platform", "platform").alias("platform"),
+        (F.col("l.platform").isNull() & F.col("platform").isNotNull()).alias("is_platform_planned"), "l.is_cancelled", "l.secs_ago", "destination_name", "l.predicted",
+    )
+    alone = live.join(timetable.select("place").distinct(), "place", "left_anti")
+    return board.unionByName(alone.select(
+        "place", "departure", "rid", "estimated", "delay_mins", "platform", F.lit(False).alias("is_platform_planned"), "is_cancelled", "secs_ago",
+        F.col("destination").alias("destination_name"), "predicted",
+    ))
+
+
+def replay_sample(outcomes: DataFrame, journeys: DataFrame, names: DataFrame, start: str, end: str, most: int) -> DataFrame:
+    """Finalised outcomes of a range of days that have a journey, in time order, every so many of them so that at most ``most``
+    are left: (place, rid, toc, origin, destination, scheduled_departure, predicted, final).
+
+    ``names`` (tpl, code) has the display code of places; others show as they are.  A report's list: the order is one task's.
+    """
+    day = F.col("scheduled_departure").cast("date")
+    rows = outcomes.filter(day.between(F.lit(start).cast("date"), F.lit(end).cast("date")) & F.col("final_delay_mins").isNotNull())
+    rows = rows.join(journeys.select("rid", "toc", F.col("origin_tpl").alias("__o"), F.col("destination_tpl").alias("__d")), "rid")
+    for column, out in (("__o", "origin"), ("__d", "destination")):
+        code = names.select(F.col("tpl").alias(column), F.col("code").alias(out))
+        rows = rows.join(code, column, "left").withColumn(out, F.coalesce(out, column))
+    at = F.row_number().over(Window.orderBy("scheduled_departure", "rid")) - 1
+    rows = rows.withColumns({"__at": at, "__n": F.count(F.lit(1)).over(Window.partitionBy())})
+    # Row floor(i n / most) is the i-th: row r is one of them if the next multiple of n at or above r most is below (r + 1) most.
+    place = F.ceil(F.col("__at") * most / F.col("__n")).cast("long")
+    taken = (F.col("__n") <= most) | ((place < most) & (F.floor(place * F.col("__n") / most) == F.col("__at")))
+    chosen = rows.filter(taken).withColumn("place", F.when(F.col("__n") <= most, F.col("__at")).otherwise(place))
+    return chosen.select("place", "rid", F.coalesce("toc", F.lit("—")).alias("toc"), "origin", "destination", "scheduled_departure", "predicted_delay_mins", "final_delay_mins")

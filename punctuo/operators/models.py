@@ -93,8 +93,7 @@ def engineered(obs: DataFrame, weather: DataFrame, key: list[str] = PATTERN, pre
     rows = rows.join(means, ["uid_prefix", "__hour"], "left").withColumn("operator_cascade_delay", F.coalesce("__m", F.lit(0.0)))
     wind = F.coalesce(F.col("wind").cast("double"), F.lit(0.0))
     rows = rows.join(weather.select(F.col("hour").alias("__hour"), "wind"), "__hour", "left").withColumn("wind_mph", wind)
-    level = F.when(wind <= 20, 0).when(wind <= 35, 1).when(wind <= 50, 2).otherwise(3)
-    return rows.withColumn("volatility_score", level).drop("__hour", "__m", "wind")
+    return rows.withColumn("volatility_score", S.wind_bin(wind)).drop("__hour", "__m", "wind")
 
 
 @dataclass

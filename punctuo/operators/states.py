@@ -175,3 +175,64 @@ def synthetic_stats(rows: DataFrame) -> DataFrame:
     out += [none(F.avg(F.when(is_(k), d))).alias(f"avg_delay_{k}") for k in kinds]
     out += [none(100.0 * F.avg(F.when(is_(k), (d <= 0).cast("double")))).alias(f"ontime_pct_{k}") for k in kinds]
     return rows.groupBy("generation").agg(*out).orderBy(F.col("generation").desc()).limit(1)
+
+
+def merged_calls(seen: DataFrame, key: list[str], fields: list[str], version: str, sticky: str) -> DataFrame:
+    """Stops as their messages leave them: each field from the newest row that has it; once ``sticky``, always so."""
+    best = highest_version(seen, key, fields, version)
+    return best.join(seen.groupBy(*key).agg(F.bool_or(F.coalesce(sticky, F.lit(False))).alias(sticky)), key)
+
+
+def by_source(feed: DataFrame, poll: DataFrame, predictor: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
+    """Each field by the highest version among three sources: the feed's is its message time in milliseconds, a poll's its
+    counter, a prediction's 0; so the feed wins over polls and these over predictions, whatever came last."""
+    rows = feed.withColumn("version", F.unix_millis(F.col("seen_at").cast("timestamp"))).select(*key, *fields, "version")
+    rows = rows.unionByName(poll.withColumn("version", F.col("counter").cast("long")).select(*key, *fields, "version"))
+    rows = rows.unionByName(predictor.withColumn("version", F.lit(0).cast("long")).select(*key, *fields, "version"))
+    return highest_version(rows, key, fields, "version")
+
+
+def network_now(trains: DataFrame, calls: DataFrame, as_of: str, worst: int = 5) -> DataFrame:
+    """Trains under way at ``as_of``: (kind, rid, value): their number, the cancelled, the late (over 0) and punctual ones,
+    and the ``worst`` delays, ties by rid (a top-k report).
+
+    A train (rid, delay_mins, is_cancelled) is under way from its departure to its arrival by the best known times of its
+    first and last call; a cancelled train is neither late nor punctual.
+    """
+    at = S.seconds(F.lit(as_of))
+    ends = calls.groupBy("rid").agg(
+        F.min(F.struct("seq", F.coalesce("actual_dep", "sched_dep").alias("t"))).alias("f"), F.max(F.struct("seq", F.coalesce("actual_arr", "sched_arr").alias("t"))).alias("l")
+    )
+    ends = ends.filter((S.seconds(F.col("f.t")) <= at) & (S.seconds(F.col("l.t")) >= at)).select("rid")
+    rows = trains.join(ends, "rid", "left_semi").withColumn("is_cancelled", F.coalesce("is_cancelled", F.lit(False)))
+    runs, d = ~F.col("is_cancelled"), F.coalesce("delay_mins", F.lit(0))
+    sums = {"tracked": F.lit(True), "cancelled": ~runs, "late": runs & (d > 0), "on_time": runs & (d <= 0)}
+    counts = rows.agg(*[F.count_if(c).alias(n) for n, c in sums.items()])
+    counts = counts.select(F.inline(F.array(*[F.struct(F.lit(n).alias("kind"), F.lit(None).cast("string").alias("rid"), F.col(n).alias("value")) for n in sums])))
+    top = rows.filter(runs & (d > 0)).orderBy(d.desc(), "rid").limit(worst).select(F.lit("worst").alias("kind"), "rid", d.cast("long").alias("value"))
+    return counts.unionByName(top)
+
+
+def recent_mean_of_other_trains(obs: DataFrame, group: list[str], train: str, as_of, minutes: int, least: int) -> DataFrame:
+    """For each row of the last minutes the mean delay of the *other trains* of its group in them, 0 unless these have
+    ``least`` rows: the sums of the group less those of the train."""
+    since = F.lit(as_of) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes))
+    rows = obs.filter((F.col("recorded_at") >= since) & (F.col("recorded_at") <= F.lit(as_of)))
+    mine = rows.groupBy(*group, train).agg(F.sum("delay_mins").alias("ms"), F.count("delay_mins").alias("mn"))
+    all_ = mine.groupBy(*group).agg(F.sum("ms").alias("s"), F.sum("mn").alias("n"))
+    n = F.col("n") - F.col("mn")
+    mean = F.when(n >= least, (F.col("s") - F.coalesce("ms", F.lit(0))) / F.nullif(n, F.lit(0))).otherwise(0.0)
+    return rows.join(mine.join(all_, group).select(*group, train, mean.alias("mean_others")), [*group, train]).select("obs_id", "mean_others")
+
+
+def next_departures(trains: DataFrame, as_of: str, size: int = 24) -> DataFrame:
+    """The next departures of predicted trains that run, from five minutes before ``as_of`` on, soonest first (a top-k report)."""
+    return tracking_board(trains.filter("not coalesce(is_cancelled, false)"), as_of, size)
+
+
+def source_states(sources: DataFrame, arrivals: DataFrame, source: str, at: str, as_of, stale_s: int = 300) -> DataFrame:
+    """Every source (source, enabled) by its silence: disabled, starting (nothing has come yet), fresh, or stale."""
+    last = arrivals.groupBy(source).agg((S.seconds(F.lit(as_of)) - S.seconds(F.max(at))).alias("lag_s"))
+    state = F.when(~F.col("enabled"), "disabled").when(F.col("lag_s").isNull(), "starting").when(F.col("lag_s") > stale_s, "stale").otherwise("fresh")
+    rows = sources.join(last, source, "left").withColumn("state", state)
+    return rows.select(source, "state", F.when(F.col("state").isin("fresh", "stale"), F.col("lag_s")).alias("lag_s"))

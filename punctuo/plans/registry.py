@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from punctuo.plans import boards, files, links, live, models, network, reports, states, trains
+from punctuo.plans import boards, explorer, files, links, live, models, network, reports, states, trains
 from punctuo.views import Views, oracle
 
-_ALL = [*reports.LIST, *links.LIST, *boards.LIST, *states.LIST, *live.LIST, *trains.LIST, *models.LIST, *network.LIST, *files.LIST]
+_ALL = [*reports.LIST, *links.LIST, *boards.LIST, *states.LIST, *live.LIST, *trains.LIST, *models.LIST, *network.LIST, *files.LIST, *explorer.LIST]
 
 QUERIES = {name: (lambda spark, sf_dir, f=f: f(Views(spark, sf_dir))) for name, f, _ in _ALL}
 ORACLE_SQL = {name: oracle(sql) for name, _, sql in _ALL if sql}
