@@ -15,6 +15,12 @@ from pyspark.sql import functions as F
 from punctuo.llm.common import cut
 
 
+#: No score, which is an integer of 64 bits: less than any.
+NO_SCORE = -(2**63 - 1)
+#: Relative error that sums of products of doubles stay well within.
+SLACK = 1e-12
+
+
 @dataclass
 class Node:
     start: int
@@ -75,8 +81,9 @@ class CoverTree:
 
 
 def bound(center: np.ndarray, radius, norm, other: np.ndarray, other_radius, other_norm):
-    """No inner product between the two balls is larger."""
-    return (other @ center) + norm * other_radius + other_norm * radius + radius * other_radius + 1e-6
+    """No inner product between the two balls is larger; the last term outweighs what rounding may have lost."""
+    slack = 1e-6 + SLACK * (norm + radius) * (other_norm + other_radius)
+    return (other @ center) + norm * other_radius + other_norm * radius + radius * other_radius + slack
 
 
 def dual_search(queries: CoverTree, floor: np.ndarray, data: CoverTree, k: int) -> list[tuple[int, int, int]]:
@@ -88,8 +95,10 @@ def dual_search(queries: CoverTree, floor: np.ndarray, data: CoverTree, k: int)
     exact = float(np.abs(queries.points).max(initial=0)) * float(np.abs(data.points).max(initial=0))
     kind = np.float64 if exact * max(1, data.points.shape[1]) < 2**52 else np.int64
     q, x = queries.points.astype(kind), data.points.astype(kind)
-    worst = floor[queries.order].astype(np.float64)
-    scores = np.full((len(q), k), -np.inf)
+    low = floor[queries.order]
+    worst = np.full(len(q), NO_SCORE)
+    worst[np.isfinite(low)] = np.floor(np.clip(low[np.isfinite(low)], -(2.0**62), 2.0**62)).astype(np.int64)
+    scores = np.full((len(q), k), NO_SCORE)
     best = np.full((len(q), k), np.iinfo(np.int64).max)
     todo = [(0, 0, np.inf)]
     while todo:
@@ -103,11 +112,11 @@ def dual_search(queries: CoverTree, floor: np.ndarray, data: CoverTree, k: int)
             pairs = [(i, c) for c in b.children]
         else:
             span, other = slice(a.start, a.end), slice(b.start, b.end)
-            s = (q[span] @ x[other].T).astype(np.float64)
+            s = (q[span] @ x[other].T).astype(np.int64)
             ids = data.ids[other]
-            s[queries.ids[span][:, None] == ids[None, :]] = -np.inf
-            s[s < worst[span][:, None]] = -np.inf
-            good = np.isfinite(s)
+            s[queries.ids[span][:, None] == ids[None, :]] = NO_SCORE
+            s[s < worst[span][:, None]] = NO_SCORE
+            good = s > NO_SCORE
             hit, some = np.flatnonzero(good.any(axis=1)), np.flatnonzero(good.any(axis=0))
             if len(hit):
                 at = hit + a.start
@@ -124,8 +133,8 @@ def dual_search(queries: CoverTree, floor: np.ndarray, data: CoverTree, k: int)
             m, n = queries.nodes[c], data.nodes[d]
             new.append((c, d, float(bound(m.center, m.radius, m.norm, n.center, n.radius, n.norm))))
         todo += sorted(new, key=lambda t: t[2])
-    rows, cols = np.nonzero(np.isfinite(scores))
-    return list(zip(queries.ids[rows].tolist(), best[rows, cols].tolist(), scores[rows, cols].astype(np.int64).tolist()))
+    rows, cols = np.nonzero(scores > NO_SCORE)
+    return list(zip(queries.ids[rows].tolist(), best[rows, cols].tolist(), scores[rows, cols].tolist()))
 
 
 def quantised(embedding: Column, scale: float = 64.0) -> Column:
@@ -163,7 +172,7 @@ def search(
     hash into blocks of about ``block_rows`` rows, so a common vector fills many blocks.  A block is a cover tree; so is
     a group of about ``group_rows`` queries of a cell.  The sample also gives every query a first kth score.  Pairs of
     group and block meet only if the covering radii allow a score of the group's worst kth; each pair is one dual-tree
-    search, and the pairs' results are merged per query.  Nothing is approximate.
+    search, and the pairs' results are merged per query.  Nothing is approximate as long as scores fit 64 bits.
 
     Vectors that are null or hold null or non-finite components take no part, nor do rows with a null id; shorter
     vectors count as filled up with zeros.  Rows with the query's own id are never its results; other repeated ids are
@@ -191,6 +200,7 @@ def search(
         pick.append(int(near.argmax()))
     centers = seeds[pick]
     square = (centers**2).sum(axis=1)
+    longest = float(np.sqrt((seeds**2).sum(axis=1).max(initial=0)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,7 +212,8 @@ def search(
                 if asks.any() and len(seeds) > k:
                     s = x[asks] @ seeds.T
                     s[ids[asks][:, None] == seed_ids[None, :]] = -np.inf
-                    floor[asks] = np.partition(s, len(seeds) - k, axis=1)[:, len(seeds) - k]
+                    lost = SLACK * longest * np.sqrt((x[asks].astype(np.float64) ** 2).sum(axis=1))
+                    floor[asks] = np.partition(s, len(seeds) - k, axis=1)[:, len(seeds) - k] - lost
                 packed = x.astype(kind)
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -14,7 +14,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from punctuo.llm import collocations, registry, warc, whitening
+from punctuo.llm import collocations, registry, top_k, warc, whitening
 from punctuo.llm.common import cut
 
 SMALL = "/root/testdata/sf0.001"
@@ -292,3 +292,22 @@ def test_spectra_by_rank_one_updates(kind):
         assert s.n == len(x) and np.allclose(s.mean, x.mean(0))
         assert np.abs(s.vectors.T @ s.vectors - np.eye(x.shape[1])).max() < 1e-12
         assert np.abs(s.vectors * s.values @ s.vectors.T - want).max() < 1e-12 * scale
+
+
+# Exact scores of any size
+
+
+@pytest.mark.parametrize("size", [1.0, 1e6, 1e7])
+def test_scores_are_exact_at_any_size(spark, size):
+    rng = np.random.default_rng(int(size))
+    points = np.floor(rng.uniform(-size, size, (300, 8)) * 64) / 64
+    points[40:60] = points[40]  # ties
+    points[::7] *= 1e-3
+    rows = [(i, [float(v) for v in p]) for i, p in enumerate(points)]
+    found = top_k.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block_rows=64, group_rows=8, cells=4)
+    q = [[int(np.floor(64 * v)) for v in p] for p in points]
+    want = []
+    for i in range(0, 300, 20):
+        scores = sorted((-sum(a * b for a, b in zip(q[i], v)), j) for j, v in enumerate(q) if j != i)[:20]
+        want += [(i, n, j, -s) for n, (s, j) in enumerate(scores, 1)]
+    assert sorted(map(tuple, found.collect())) == want
