@@ -116,7 +116,7 @@ class Views:
     """The views as DataFrames, by attribute."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self.texts = spark, sf_dir, VIEWS
 
     def sql(self, text: str) -> DataFrame:
         """Run SQL over the views; only tables and views that it needs are read."""
@@ -124,9 +124,9 @@ class Views:
         while todo:
             found = {w for w in re.findall(r"\w+", todo.pop()) if w in VIEWS or w in TABLES} - wanted
             wanted |= found
-            todo += [VIEWS[w] for w in found if w in VIEWS]
+            todo += [self.texts[w] for w in found if w in VIEWS]
         parts = [f"{t} AS (SELECT * FROM parquet.`{self.sf_dir}/{t}.parquet`)" for t in TABLES if t in wanted]
-        parts += [f"{name} AS ({_spark(view)})" for name, view in VIEWS.items() if name in wanted]
+        parts += [f"{name} AS ({_spark(view)})" for name, view in self.texts.items() if name in wanted]
         return self.spark.sql("WITH " + ",\n".join(parts) + "\n" + _spark(text))
 
     def __getattr__(self, name: str) -> DataFrame:
