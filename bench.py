@@ -29,11 +29,11 @@ def timed(run, views) -> float:
 
 
 def feed(spark: SparkSession, views) -> dict:
-    """Messages of one train in fifty, from Parquet files through the decoder and the keyed state to Parquet."""
+    """Messages of one train in twenty, from Parquet files through the decoder and the keyed state to Parquet."""
     from punctuo.plans import trains as P
 
     def part(rows):
-        return rows.filter(F.col("number") % 50 == 1)
+        return rows.filter(F.col("number") % 20 == 1)
 
     waves = P._waves(part(P._trains(views)).cache())
     n = sum(w.count() for w in waves)
