@@ -53,11 +53,13 @@ def spans(text: Column, kind: str, order: int, pattern: str, group: int, least:
         own = F.aggregate(some, start, step)
         return F.struct(own["at"].alias("at"), F.concat(acc["found"], own["found"]).alias("found"))
 
-    size = F.greatest(F.ceil(F.sqrt(F.size(full))), F.lit(1)).cast("int")
-    number = F.ceil(F.size(full) / size).cast("int")
-    blocks = F.transform(
-        F.array(pairs), lambda p: F.transform(F.sequence(F.lit(1), number), lambda i: F.slice(p, (i - 1) * size + 1, size))
-    )
+    def cut(p: Column) -> Column:
+        size = F.greatest(F.ceil(F.sqrt(F.size(p))), F.lit(1)).cast("int")
+        number = F.ceil(F.size(p) / size).cast("int")
+        return F.transform(F.sequence(F.lit(1), number), lambda i: F.slice(p, (i - 1) * size + 1, size))
+
+    # One-element array: the text is searched once, not for every block.
+    blocks = F.transform(F.array(pairs), cut)
     start = F.struct(F.lit(0).alias("at"), none.alias("found"))
     return F.when(text.rlike(pattern), F.aggregate(blocks[0], start, block, lambda acc: acc["found"])).otherwise(none)
 
@@ -106,12 +108,38 @@ def suspicious(value: Column, window: int, allow: tuple[str, ...] = ALLOW) -> Co
     return F.when(clear, F.lit(False)).otherwise(window_entropy(value, window) >= least)
 
 
-def outside(c: Column, base: Column, least: int) -> Column:
-    """The parts of candidate ``c`` that no span of ``base`` (by start) covers, of ``least`` characters or more.
+def met(spans: Column, c: Column) -> Column:
+    """Those of ``spans`` that overlap candidate ``c``.
+
+    Spans of one kind are disjoint and in order, so both their starts and their ends ascend and two binary searches find
+    the run of them: a candidate costs the logarithm of the spans of its text, and what it meets.
+    """
+
+    def first(ahead) -> Column:
+        """The number of spans for which ``ahead`` holds; it holds for none after one for which it does not."""
+
+        def step(acc: Column, _: Column) -> Column:
+            middle = F.shiftright(acc["lo"] + acc["hi"], 1)
+            more = (acc["lo"] < acc["hi"]) & ahead(F.get(spans, middle))
+            return F.struct(
+                F.when(more, middle + 1).otherwise(acc["lo"]).alias("lo"), F.when(more, acc["hi"]).otherwise(middle).alias("hi")
+            )
+
+        start = F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi"))
+        halvings = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + 1)).cast("int"))
+        return F.aggregate(halvings, start, step, lambda acc: acc["lo"])
+
+    begin = first(lambda s: s["end"] <= c["start"])
+    end = first(lambda s: s["start"] < c["end"])
+    return F.when(F.size(spans) > 0, F.slice(spans, begin + 1, F.greatest(end - begin, F.lit(0)))).otherwise(spans)
+
+
+def outside(c: Column, kinds: list[Column], least: int) -> Column:
+    """The parts of candidate ``c`` that no span of ``kinds`` (arrays, each in order) covers, of ``least`` characters or more.
 
     Characters of candidates are ASCII, so code points count them.
     """
-    inside = F.filter(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    none = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string,value:string>>")
 
     def part(lo: Column, hi: Column) -> Column:
         value = F.substring(c["value"], lo - c["start"] + 1, hi - lo)
@@ -123,10 +151,13 @@ def outside(c: Column, base: Column, least: int) -> Column:
     def step(acc: Column, b: Column) -> Column:
         return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), more(acc, b["start"]).alias("found"))
 
-    none = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string,value:string>>")
-    start = F.struct(c["start"].alias("at"), none.alias("found"))
-    cut = F.aggregate(inside, start, step, lambda acc: more(acc, c["end"]))
-    return F.when(F.size(inside) > 0, cut).otherwise(F.array(c))
+    def left(inside: Column) -> Column:
+        start = F.struct(c["start"].alias("at"), none.alias("found"))
+        cut = F.aggregate(inside, start, step, lambda acc: more(acc, c["end"]))
+        return F.when(F.size(inside) > 0, cut).otherwise(F.array(c))
+
+    # One-element array: the spans are searched once, not at every use.
+    return F.transform(F.array(F.array_sort(F.concat(*[met(k, c) for k in kinds]))), left)[0]
 
 
 def scan(
@@ -139,16 +170,20 @@ def scan(
     """One row per row of ``docs``: doc_id, base, added (arrays of struct<start, ord, end, kind, value>).
 
     ``base`` holds the matches of :data:`KINDS` by start and kind; ``added`` the high-entropy strings outside them (kind
-    ``entropy``): where base matches lie in a candidate, what is left between them is judged part by part.  Null text is empty; empty texts have no spans; a text of any length is one row of one
-    map, nothing is shuffled; repeated rows are scanned again.
+    ``entropy``): where base matches lie in a candidate, what is left between them is judged part by part.  Null text is
+    empty; empty texts have no spans; a text of any length is one row of one map, nothing is shuffled; repeated rows are
+    scanned again.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    by_kind = [spans(F.col("__text"), k, i, p, g, n) for i, (k, p, g, n) in enumerate(KINDS)]
+    names = [f"__{k}" for k, *_ in KINDS]
+    by_kind = [spans(F.col("__text"), k, i, p, g, n).alias(f"__{k}") for i, (k, p, g, n) in enumerate(KINDS)]
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("__text"))
-    rows = rows.select("doc_id", F.array_sort(F.concat(*by_kind)).alias("base"), spans(F.col("__text"), "entropy", len(KINDS), CANDIDATE, 0, window).alias("__candidates"))
+    rows = rows.select("doc_id", *by_kind, spans(F.col("__text"), "entropy", len(KINDS), CANDIDATE, 0, window).alias("__candidates"))
 
-    candidates = F.flatten(F.transform("__candidates", lambda c: outside(c, F.col("base"), window)))
-    rows = rows.select("doc_id", "base", F.when(F.size("base") > 0, candidates).otherwise(F.col("__candidates")).alias("__parts"))
+    base = F.array_sort(F.concat(*names)).alias("base")
+    candidates = F.flatten(F.transform("__candidates", lambda c: outside(c, [F.col(k) for k in names], window)))
+    some = sum((F.size(k) for k in names), F.lit(0)) > 0
+    rows = rows.select("doc_id", base, F.when(some, candidates).otherwise(F.col("__candidates")).alias("__parts"))
     added = F.filter("__parts", lambda c: suspicious(c["value"], window, allow))
     return rows.select("doc_id", "base", added.alias("added"))
 
@@ -160,7 +195,10 @@ def listed(found: Column) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The scan's result as counts, a hash of the base spans and one string of all spans."""
+    """The scan's result as counts, a hash of the base spans and one string of all spans, row by row.
+
+    A text without spans counts 0 and has the hash of the empty string and an empty string; ids may be null or repeated.
+    """
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
         "doc_id",
