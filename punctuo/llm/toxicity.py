@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from punctuo.llm.common import cut, forget
+
 # Groups of identity terms; a swap takes each to the next of its group.
 IDENTITY = (
     ("women", "men"),
@@ -28,7 +30,6 @@ IDENTITY = (
 )
 SWAP = {term: group[(i + 1) % len(group)] for group in IDENTITY for i, term in enumerate(group)}
 TOKEN = re.compile(r"[^\W\d_]+")
-SENTENCE = re.compile(r"(?<=[.!?\n])\s+")
 #: Documents whose buckets are counted at a time on the driver, which bounds its memory.
 COUNTED = 1000
 
@@ -71,8 +72,12 @@ class Model:
         return score
 
 
-def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_rows: int, buckets: int) -> list:
-    """Features of at most ``max_rows`` labelled rows that are not held out, in seeded order, and of their swaps."""
+def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_rows: int, max_buckets: int, buckets: int) -> pa.Table:
+    """Features of labelled rows that are not held out, in seeded order, and what identity swaps take from and add to them.
+
+    At most ``max_rows`` rows, and of these as many as have ``max_buckets`` buckets in all, so that the driver's memory
+    is bounded however many words the texts have.  Buckets are counted where the texts are.
+    """
     chosen = (
         labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("__toxic"))
         .dropna()
@@ -92,17 +97,11 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_
                 b = batch.slice(at, 100)
                 plain, minus, plus = [], [], []
                 for text in b.column("text").to_pylist():
-                    low = (text or "").lower()
-                    plain.append(bag({*TOKEN.findall(low)}))
-                    out, into = [], []
-                    for sentence in SENTENCE.split(low):
-                        found = {*TOKEN.findall(sentence)}
-                        if found & SWAP.keys():
-                            swapped = {SWAP.get(w, w) for w in found}
-                            out += bag(found - swapped)
-                            into += bag(swapped - found)
-                    minus.append(out)
-                    plus.append(into)
+                    found = {*TOKEN.findall((text or "").lower())}
+                    swapped = {SWAP.get(w, w) for w in found}
+                    plain.append(bag(found))
+                    minus.append(bag(found - swapped))
+                    plus.append(bag(swapped - found))
                 kind = pa.list_(pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [b.column("__id"), b.column("toxic"), *(pa.array(x, kind) for x in (plain, minus, plus))],
@@ -113,7 +112,11 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_
         return [f for w in found for f in features_of(w, buckets)]
 
     kinds = "id long, toxic int, plain array<int>, minus array<int>, plus array<int>"
-    got = rows.select(F.col("__id").cast("long"), "toxic", "text").mapInArrow(run, kinds).toArrow()
+    made = cut(rows.select(F.col("__id").cast("long"), "toxic", "text").mapInArrow(run, kinds), "toxicity-sample")
+    sizes = made.groupBy(F.xxhash64("id").alias("at")).agg(F.sum(F.size("plain")).alias("n")).orderBy("at").toPandas()
+    fit_in = sizes["at"][sizes["n"].cumsum() <= max_buckets]
+    got = made.filter(F.xxhash64("id") <= int(fit_in.iloc[-1]) if len(fit_in) else F.lit(False)).toArrow()
+    forget(made)
     order = np.argsort(got["id"].to_numpy(), kind="stable")
     return got.take(pa.array(order))
 
@@ -127,7 +130,10 @@ def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(y: np.ndarray, plain: tuple, minus: tuple, plus: tuple, buckets: int, penalty: float = 1.0, ridge: float = 3e-4, rounds: int = 400, least: int = 5, least_z: float = 3.0) -> Model:
-    """Logistic regression on bucket counts with ``penalty`` times the mean squared score change under identity swaps.
+    """Logistic regression on bucket counts with ``penalty`` times the mean squared change of a score under identity swaps.
+
+    The change is that of the document's own score, in log-odds, which no certainty of the score can hide: what the
+    scorer gives the words of the document after all its identity terms are swapped, less what it gives the document.
 
     Buckets count that ``least`` rows have and whose share among toxic rows differs from that among the others by
     ``least_z`` standard errors.  Without rows, or with one class only, the model is a constant.
@@ -184,11 +190,17 @@ def train(
     id_col: str = "doc_id",
     text_col: str = "text",
     max_rows: int = 10_000,
+    max_buckets: int = 50_000_000,
     buckets: int = 1 << 18,
     penalty: float = 1.0,
 ) -> Model:
-    """Fit on at most ``max_rows`` labelled rows whose crc32(doc_id) mod 5 is not 0 (the documented bound)."""
-    got = _sample(docs, labels, id_col, text_col, max_rows, buckets)
+    """Fit on labelled rows whose crc32(doc_id) mod 5 is not 0: at most ``max_rows``, and ``max_buckets`` buckets of their
+    words (4 bytes each on the driver), the documented bounds.
+
+    A label that is null takes no part; of several labels of a doc_id the largest counts; rows of a repeated doc_id are
+    all learned from, those of a null one are not.  Without labels the model is a constant.
+    """
+    got = _sample(docs, labels, id_col, text_col, max_rows, max_buckets, buckets)
     y = got["toxic"].to_numpy().astype(float)
     if not len(y):
         return fit(y, *[(np.zeros(0, int), np.zeros(0, int))] * 3, buckets)
