@@ -10,8 +10,8 @@ from punctuo.functions import scalars as S
 
 def direct_journeys(calls: DataFrame, pairs: DataFrame) -> DataFrame:
     """For each (from_crs, to_crs): services that call at both in that order on one day.  An equi-join on (uid, day,
-    trip) with the order as its residual; ``pairs`` cut both sides first, so only calls at asked stations are shuffled."""
-    pairs = F.broadcast(pairs)  # the asked pairs, a parameter
+    trip) with the order as its residual; ``pairs`` cut both sides first, so only calls at asked stations are shuffled.
+    Whether ``pairs`` are broadcast is left to Spark, which goes by their size."""
     start = calls.join(pairs, F.col("location_crs") == F.col("from_crs"), "left_semi").alias("a")
     stop = calls.join(pairs, F.col("location_crs") == F.col("to_crs"), "left_semi").alias("b")
     key = ["uid", "operating_date", "trip_id"]
