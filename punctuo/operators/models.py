@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from punctuo.functions import scalars as S
+from punctuo.operators import frames
 
 #: The features of a model in the order of its vector: what is known the day before, and what only a running train has.
 DAY_AHEAD = (
@@ -30,28 +31,19 @@ _DAY = 86_400_000_000
 def rolling(obs: DataFrame, key: list[str] = PATTERN) -> DataFrame:
     """``obs`` with statistics over the 7 and 14 days before, without the row's own UTC day, and with its journey's last delay.
 
-    Each is a range frame less the same day's earlier part; sums are of longs, so nothing is lost.  All windows are by the
-    pattern, or by it and the day, so one shuffle serves them all.  Rows of one pattern are at most those of one hour of a
-    week's day, of one train.
+    Each is the sum up to the start of the day less that up to its first time, both from running sums of longs, so nothing is
+    lost.  All windows are by the pattern, or by it and more, so one shuffle serves them all.
     """
     t, d = S.micros(F.col("recorded_at")), F.col("delay_mins").cast("long")
-    rows = obs.withColumn("service_date", F.to_date("recorded_at"))
-    whole = Window.partitionBy(*key).orderBy(t)
-    today = Window.partitionBy(*key, "service_date").orderBy(t).rangeBetween(Window.unboundedPreceding, -1)
+    times = {f"{days}": t - days * _DAY for days in (7, 14)} | {"day": S.micros(F.date_trunc("day", "recorded_at"))}
+    sums = {"__n": F.lit(1).cast("long"), "__s": d, "__q": d * d, "__o": (d <= 0).cast("long")}
+    rows = frames.sums_before(obs, key, t, times, sums).withColumn("service_date", F.to_date("recorded_at"))
     journey = Window.partitionBy(*key, "service_date")
-
-    def before(what: Column, days: int) -> Column:
-        return F.coalesce(what.over(whole.rangeBetween(-days * _DAY, -1)), F.lit(0)) - F.coalesce(what.over(today), F.lit(0))
-
-    names = {}
-    for days in (7, 14):
-        n, s, q = (f"__{x}{days}" for x in "nsq")
-        names |= {n: before(F.count(F.lit(1)), days), s: before(F.sum(d), days), q: before(F.sum(d * d), days)}
-    names["__o7"] = before(F.sum((d <= 0).cast("long")), 7)
+    names = {f"{x}{days}": F.col(f"{x}_day") - F.col(f"{x}_{days}") for x in sums for days in (7, 14)}
     last = F.struct("recorded_at", "obs_id")
     names["final_delay_mins"] = F.max_by("delay_mins", last).over(journey)
     names["is_journey_final"] = F.max(last).over(journey)["obs_id"] == F.col("obs_id")
-    rows = rows.withColumns(names)
+    rows = rows.withColumns(names).drop(*[f"{x}_{n}" for x in sums for n in (*times, "own")])
     out = {}
     for days in (7, 14):
         n, s, q = (F.col(f"__{x}{days}") for x in "nsq")
@@ -60,24 +52,20 @@ def rolling(obs: DataFrame, key: list[str] = PATTERN) -> DataFrame:
         out |= {f"rolling_mean_{days}d": F.coalesce(mean, F.lit(0.0)), f"rolling_std_{days}d": F.coalesce(spread, F.lit(0.0))}
     out["rolling_ontime_7d"] = F.coalesce(100.0 * F.col("__o7") / F.nullif(F.col("__n7"), F.lit(0)), F.lit(0.0))
     out["sample_count_log"] = F.log1p(F.col("__n7").cast("double"))
-    return rows.withColumns(out).drop(*[f"__{x}{n}" for x in "nsq" for n in (7, 14)], "__o7")
+    return rows.withColumns(out).drop(*[f"{x}{n}" for x in sums for n in (7, 14)])
 
 
 def engineered(obs: DataFrame, weather: DataFrame, key: list[str] = PATTERN, prefix: int = 1) -> DataFrame:
     """``obs`` with all features that need no fitting; each looks only at rows strictly before its own.
 
-    What other trains did at the origin comes from range frames over slots of 30 minutes, each row being also in the next
-    slot to be looked back at, so that neither a long history nor a hot origin is one group.
+    What other trains did at the origin is told by what runs up to a time within slots of 30 minutes, each row being also in
+    the next slot to be looked back at, so that neither a long history nor a hot origin is one group.
     """
     rows = rolling(obs, key)
     at, d = F.col("recorded_at"), F.col("delay_mins").cast("double")
-    slot = F.floor(S.seconds(at) / 1800)
-    rows = rows.withColumn("__own", slot).withColumn("__slot", F.explode(F.array(F.col("__own"), F.col("__own") + 1)))
-    near = Window.partitionBy("origin_crs", "__slot").orderBy(S.micros(at))
-    seen = F.max(F.struct(at.alias("t"), F.col("obs_id").alias("i"), F.col("uid").alias("u"), d.alias("d"))).over(near.rangeBetween(-1_200_000_000, -1))
-    congestion = F.avg(d).over(near.rangeBetween(-1_800_000_000, -1))
-    rows = rows.withColumns({"__p": seen, "station_congestion_30m": F.coalesce(congestion, F.lit(0.0))}).filter("__own = __slot")
-    preceding = F.when(F.coalesce(F.col("__p.u") != F.col("uid"), F.lit(False)), F.col("__p.d")).otherwise(0.0)
+    rows = frames.last_before(frames.in_slots(rows, 1800), 1200, "__p")
+    rows = frames.mean_before(rows, 1800, "station_congestion_30m").filter("__own = __slot")
+    preceding = F.when(F.coalesce(F.col("__p.u") != F.col("uid"), F.lit(False)), F.col("__p.d").cast("double")).otherwise(0.0)
     hour = F.date_trunc("hour", "recorded_at")
     clock = F.hour(at) + F.minute(at) / 60.0
     gap = (F.col("departure_hour") - clock) * 60.0
