@@ -133,7 +133,7 @@ def _history(v) -> DataFrame:
     """Service details of trains; delays past half a day wrap, those out of range go."""
     rows = v.sql(STOPS).filter("number % 5 > 0")
     left = C("sched_dep") + F.make_dt_interval(F.lit(0), F.lit(0), (C("number") % 1000).cast("int"))
-    call = F.struct(F.when(C("n") % 10 == 3, F.concat(F.lower("code"), F.lit("xx"))).otherwise(F.lower("code")).alias("location"),
+    call = F.struct(F.when(C("n") % 10 == 3, F.concat(F.lit("9"), F.lower("code"))).otherwise(F.lower("code")).alias("location"),
         F.when(C("seq") % 4 == 3, "").otherwise(F.date_format("sched_dep", "HHmm")).alias("gbtt_ptd"), F.date_format(left, "HHmm").alias("actual_td"))
     day = F.date_format(F.min("sched_dep"), "yyyy-MM-dd")
     trains = rows.groupBy("rid", "number").agg(F.collect_list(call).alias("locations"), day.alias("date_of_service"))
