@@ -27,16 +27,18 @@ PLACES = f"SELECT s_suppkey AS n, CASE WHEN s_suppkey % 13 = 0 THEN 'x' ELSE ''
 STOPS = f"SELECT CAST(substr(tpl, 2) AS INT) AS n, rid, seq, tpl, sched_arr, sched_dep, CAST(rid AS BIGINT) AS number, {_letters('CAST(substr(tpl, 2) AS INT)')} AS code FROM journey_calls"
 
 
-def _lines(df: DataFrame, columns: list, name: str, order: list[str], header: str | None = None, files: int = 1) -> str:
-    """Rows as lines of comma-separated text in order, in one file or in several that follow each other by name."""
+def _lines(df: DataFrame, columns: list, name: str, order: list[str], header: str | None = None, files: int | None = 1) -> str:
+    """Rows as lines of comma-separated text in order, in one file or in several that follow each other by name.
+
+    Tables that grow are written without a number of ``files``, in as many as Spark deals a shuffle into."""
     text = df.select(F.concat_ws(",", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns]).alias("value"), *order)
     path = new_path(df.sparkSession, name)
+    text = text.repartitionByRange(*([files] if files else []), *order).sortWithinPartitions(*order).select("value")
     if header:
-        text = text.repartitionByRange(files, *order).sortWithinPartitions(*order).select("value")
         head, rest = header.split(","), F.split("value", ",", -1)
         text.select(*[rest[i].alias(h) for i, h in enumerate(head)]).write.option("header", True).option("emptyValue", "").csv(path)
     else:
-        text.repartitionByRange(files, *order).sortWithinPartitions(*order).select("value").write.text(path)
+        text.write.text(path)
     return path
 
 
@@ -68,7 +70,7 @@ def _trips_file(v) -> str:
     rows = v.sql("SELECT DISTINCT rid, CAST(rid AS BIGINT) AS number FROM journey_calls")
     uid = F.concat(F.when(C("number") % 19 == 0, "c_").otherwise("C"), F.lpad((C("number") % 997).cast("string"), 5, "0"))
     columns = [F.concat(uid, F.lit("_"), "rid"), F.concat(F.lit("S"), (C("number") % 11).cast("string")), F.concat(F.lit("R"), (C("number") % 30).cast("string"))]
-    return _lines(rows, columns, "trips", ["number"], "trip_id,service_id,route_id", files=3)
+    return _lines(rows, columns, "trips", ["number"], "trip_id,service_id,route_id", files=None)
 
 
 def _times_file(v) -> str:
@@ -77,7 +79,7 @@ def _times_file(v) -> str:
     clock = lambda t: F.concat((F.hour(t) + F.when(C("seq") % 5 == 4, 24).otherwise(0)).cast("string"), F.date_format(t, ":mm:ss"))
     stop = F.concat(F.lit("9100"), F.when(C("n") % 13 == 0, F.lower("code")).otherwise(C("code")))
     columns = [F.concat(uid, F.lit("_"), "rid"), F.when(C("seq") == 3, "late").otherwise(clock("sched_arr")), clock("sched_dep"), stop, (C("seq") * 10).cast("string")]
-    return _lines(rows, columns, "stop-times", ["tpl", "number", "seq"], "trip_id,arrival_time,departure_time,stop_id,stop_sequence", files=3)
+    return _lines(rows, columns, "stop-times", ["tpl", "number", "seq"], "trip_id,arrival_time,departure_time,stop_id,stop_sequence", files=None)
 
 
 def _known(v) -> DataFrame:
@@ -120,7 +122,7 @@ def _operators_file(v) -> str:
 def _catalog_file(v) -> str:
     rows = v.sql("SELECT o_orderkey AS n, CAST(o_orderdate AS DATE) AS day FROM orders")
     until = F.when(C("n") % 3 == 0, "2999-12-31 00:00:00").otherwise(F.date_format(F.date_add("day", 90), "yyyy-MM-dd HH:mm:ss"))
-    return _lines(rows, [C("n"), F.concat(F.lit("K"), C("n").cast("string")), F.lit("name"), *[F.lit("")] * 4, F.date_format("day", "yyyy-MM-dd"), until], "catalog", ["n"])
+    return _lines(rows, [C("n"), F.concat(F.lit("K"), C("n").cast("string")), F.lit("name"), *[F.lit("")] * 4, F.date_format("day", "yyyy-MM-dd"), until], "catalog", ["n"], files=None)
 
 
 def _json(df: DataFrame, value, name: str) -> str:

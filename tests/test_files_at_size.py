@@ -21,3 +21,16 @@ def test_history_where_codes_of_stations_repeat(spark, tmp_path):
     for t in ("customer", "part", "events", "nation", "region"):
         db.execute(f"CREATE VIEW {t} AS FROM '{SMALL}/{t}.parquet'")
     assert got == db.execute(f"SELECT count(*) FROM ({oracle_sql()['history_json_to_observations']}) q").fetchone()[0] > 0
+
+
+def test_large_tables_are_written_by_all_tasks(spark):
+    from punctuo.plans import files
+    from punctuo.views import Views
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for write in (files._catalog_file, files._trips_file, files._times_file):
+            path = write(Views(spark, SMALL)).removeprefix("file://")
+            assert sum(n.startswith("part-") for n in os.listdir(path)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
