@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +15,9 @@ from punctuo.llm.common import cut, forget
 from punctuo.llm.shingles import mixed, words_of
 
 LONGEST = 5
-#: Bytes of text that a task cuts into words at a time; a piece of text that is longer is taken whole.
-CHUNK = 4 << 20
+#: Bytes of text that a task cuts into words at a time, which takes some 35 times as much memory; a piece of text that is
+#: longer is taken whole.
+CHUNK = 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 #: A-Z in lower case, every piece break as a line feed, a tab as a space: each byte as one byte.
@@ -117,7 +119,7 @@ def sieve(texts: DataFrame, least: int, bits: int, before: Sieve | None = None)
             c = _Chunk(langs, some)
             grams = c.two[c.follows] if before is None else c.three[c.triples(shared.value)]
             more.append(np.unique(held.slots(grams), return_counts=True))
-            if sum(len(m[0]) for m in more) > 4_000_000:
+            if sum(len(m[0]) for m in more) > 1_000_000:
                 slots, counts = _counted(*(np.concatenate(x) for x in zip((slots, counts), *more, strict=True)), least)
                 more = []
         slots, counts = _counted(*(np.concatenate(x) for x in zip((slots, counts), *more, strict=True)), least)
@@ -158,24 +160,25 @@ def edges(texts: DataFrame, least: int, bits: int = 26) -> DataFrame:
     pairs = sieve(texts, least, bits)
     shared = texts.sparkSession.sparkContext.broadcast((pairs, sieve(texts, least, bits, pairs)))
 
-    def rows(found: dict[int, list]) -> Iterator[pa.RecordBatch]:
-        out = list(found.values())
-        for i in range(0, len(out), 20_000):
-            lang, gram, size, weight = zip(*out[i : i + 20_000], strict=True)
-            raw = pa.array(gram, pa.binary())
+    def rows(lang: list[str], gram: list[bytes], size: array, weight: array) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(gram), 20_000):
+            part = slice(i, i + 20_000)
+            raw = pa.array(gram[part], pa.binary())
             text = pa.Array.from_buffers(pa.string(), len(raw), raw.buffers())
-            arrays = [pa.array(lang, pa.string()), text, pa.array(size, pa.int32()), pa.array(weight, pa.int64())]
+            arrays = [pa.array(lang[part], pa.string()), text, pa.array(size[part], pa.int32()), pa.array(weight[part], pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, ["lang", "gram", "size", "weight"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         two, three = shared.value
-        found: dict[int, list] = {}
+        fresh_table = lambda: ({}, ([], [], array("b"), array("q")))  # noqa: E731  where a gram's row is, and the rows by column
+        found, table = fresh_table()
         for langs, some in _chunks(batches):
             c = _Chunk(langs, some)
             n = len(c.one)
             if not n:
                 continue
-            yield from rows({i: [k, b"", 0, v] for i, (k, v) in enumerate(_per_lang(c).items())})
+            words = _per_lang(c)
+            yield from rows(list(words), [b""] * len(words), array("b", bytes(len(words))), array("q", words.values()))
             pair, triple = np.zeros(n, bool), np.zeros(n, bool)
             pair[: n - 1] = c.pairs(two)
             inside = c.triples(two)
@@ -192,16 +195,19 @@ def edges(texts: DataFrame, least: int, bits: int = 26) -> DataFrame:
                 keys = keys.tolist()
                 fresh = np.array([k not in found for k in keys], bool)
                 at = at[first[fresh]]
-                texts_of, owner = iter(c.texts(at, size)), iter(c.owner[at].tolist())
                 for key, count, new in zip(keys, counts.tolist(), fresh.tolist(), strict=True):
                     if new:
-                        found[key] = [c.langs[next(owner)], next(texts_of), size, count]
+                        found[key] = len(found)
+                        table[3].append(count)
                     else:
-                        found[key][3] += count
+                        table[3][found[key]] += count
+                table[0].extend(c.langs[i] for i in c.owner[at].tolist())
+                table[1].extend(c.texts(at, size))
+                table[2].extend([size] * len(at))
             if len(found) > 500_000:
-                yield from rows(found)
-                found = {}
-        yield from rows(found)
+                yield from rows(*table)
+                found, table = fresh_table()
+        yield from rows(*table)
 
     return texts.mapInArrow(run, _EDGES).groupBy("lang", "gram", "size").agg(F.sum("weight").alias("weight"))
 
