@@ -35,15 +35,15 @@ def rolling(obs: DataFrame, key: list[str] = PATTERN) -> DataFrame:
     lost.  All windows are by the pattern, or by it and more, so one shuffle serves them all.
     """
     t, d = S.micros(F.col("recorded_at")), F.col("delay_mins").cast("long")
-    times = {f"{days}": t - days * _DAY for days in (7, 14)} | {"day": S.micros(F.date_trunc("day", "recorded_at"))}
+    times = {f"{days}": (t, days * _DAY) for days in (7, 14)} | {"day": (S.micros(F.date_trunc("day", "recorded_at")), 0)}
     sums = {"__n": F.lit(1).cast("long"), "__s": d, "__q": d * d, "__o": (d <= 0).cast("long")}
-    rows = frames.sums_before(obs, key, t, times, sums).withColumn("service_date", F.to_date("recorded_at"))
+    rows = frames.sums_before(obs, key, times, sums).withColumn("service_date", F.to_date("recorded_at"))
     journey = Window.partitionBy(*key, "service_date")
     names = {f"{x}{days}": F.col(f"{x}_day") - F.col(f"{x}_{days}") for x in sums for days in (7, 14)}
     last = F.struct("recorded_at", "obs_id")
     names["final_delay_mins"] = F.max_by("delay_mins", last).over(journey)
     names["is_journey_final"] = F.max(last).over(journey)["obs_id"] == F.col("obs_id")
-    rows = rows.withColumns(names).drop(*[f"{x}_{n}" for x in sums for n in (*times, "own")])
+    rows = rows.withColumns(names).drop(*[f"{x}_{n}" for x in sums for n in times])
     out = {}
     for days in (7, 14):
         n, s, q = (F.col(f"__{x}{days}") for x in "nsq")

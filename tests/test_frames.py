@@ -67,3 +67,9 @@ def test_rows_without_a_time_or_of_equal_ids_stay(spark):
     found = L.rolling_training(spark.createDataFrame(rows, OBS), ["uid"], 7)
     assert sorted((r["n"], r["mean"]) for r in found.filter(F.col("n") > 0).collect()) == [(1, 6.0)]
     assert found.count() == 3
+
+
+def test_no_row_is_copied_to_ask_for_its_sums(spark, obs):
+    weather = spark.createDataFrame([], "hour timestamp, wind int")
+    assert "generate" not in plan(L.rolling_training(obs, ["uid"], 7))
+    assert plan(M.engineered(obs, weather, ["uid"])).count("generate") == 1  # the two slots of a row
