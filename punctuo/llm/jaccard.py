@@ -338,15 +338,19 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
     # What is left of signatures with many sets is chained as long as that joins some (CHAINED times at most), then
     # compared across components.
     rest, tried, used = _open(shared.filter(F.col("sets") > SMALL), joined, known), first, [shared, first, links]
-    for turn in range(CHAINED):
-        near = _chains(_still_open(rest, joined), "main", 4 * turn).join(tried, ["a", "b"], "left_anti").distinct()
+    for turn in range(CHAINED + 1):
+        before, rest = rest, cut(_still_open(rest, joined), "jaccard-still")
+        forget(before)
+        if turn == CHAINED or rest.isEmpty():
+            break
+        near = _chains(rest, "main", 4 * turn).join(tried, ["a", "b"], "left_anti").distinct()
         near = cut(near, "jaccard-tried")
         found = linked(near)
         tried, used = tried.unionByName(near), [*used, near, found]
         if found.isEmpty():
             break
         joined = _wider(joined, found)
-    second = linked(_many(_still_open(rest, joined), percent).join(tried, ["a", "b"], "left_anti"))
+    second = linked(_many(rest, percent).join(tried, ["a", "b"], "left_anti"))
     joined = _wider(joined, second)
     forget(*used, rest, second)
     at = sets.join(joined.toDF("set_id", "component"), "set_id", "left")
@@ -393,10 +397,12 @@ def _chained(shared: DataFrame) -> DataFrame:
 def _chains(of: DataFrame, group: str, first: int = 0, chains: int = 4) -> DataFrame:
     """Pairs of each set with its next in several random orders of its group, where that is of another component: a, b.
 
-    An order is cut into buckets of about BLOCK, so that no group is sorted as a whole.
+    An order is cut into buckets of about BLOCK, so that no group is sorted as a whole.  ``sets``, if there, is how many the
+    group has.
     """
-    of = of.select(group, "set_id", "component")
-    of = of.join(of.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("buckets")), group)
+    if "sets" not in of.columns:
+        of = of.join(of.groupBy(group).agg(F.count(F.lit(1)).alias("sets")), group)
+    of = of.select(group, "set_id", "component", F.ceil(F.col("sets") / BLOCK).alias("buckets"))
     both = None
     for seed in range(first, first + chains):
         order = F.xxhash64("set_id", F.lit(seed))
@@ -422,11 +428,17 @@ def _open(shared: DataFrame, joined: DataFrame, known: DataFrame) -> DataFrame:
 
 def _still_open(rest: DataFrame, joined: DataFrame) -> DataFrame:
     """``rest`` with the components of now; home: the component that ``main`` lies in; sets, others: how many ``main`` has
-    in all and outside that component, if any."""
-    at = rest.drop("component").join(joined.toDF("set_id", "component"), "set_id", "left")
-    at = at.join(joined.toDF("main", "home"), "main", "left")
-    at = at.withColumns({"component": F.coalesce("component", "set_id"), "home": F.coalesce("home", "main")})
-    counts = at.groupBy("main").agg(F.count(F.lit(1)).alias("sets"), F.count_if(F.col("component") != F.col("home")).alias("others"))
+    in all and outside that component, if any.  What is closed stays so, so each turn starts from what the last one left.
+
+    Homes are looked up once a ``main`` and counted by its components, not once a set.
+    """
+    at = rest.select("main", "set_id", "size", "sketch").join(joined.toDF("set_id", "component"), "set_id", "left")
+    at = at.withColumn("component", F.coalesce("component", "set_id"))
+    parts = at.groupBy("main", "component").agg(F.count(F.lit(1)).alias("n"))
+    homes = parts.select("main").distinct().join(joined.toDF("main", "home"), "main", "left")
+    homes = homes.select("main", F.coalesce("home", "main").alias("home"))
+    away = F.coalesce(F.sum(F.when(F.col("component") != F.col("home"), F.col("n"))), F.lit(0))
+    counts = parts.join(homes, "main").groupBy("main", "home").agg(F.sum("n").alias("sets"), away.alias("others"))
     return at.join(counts.filter("others > 0"), "main")
 
 
