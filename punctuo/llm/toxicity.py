@@ -115,12 +115,36 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_
     made = cut(rows.select(F.col("__id").cast("long"), "toxic", "text").mapInArrow(run, kinds), "toxicity-sample")
     sizes = made.groupBy(F.xxhash64("id").alias("at")).agg(F.sum(F.size("plain")).alias("n")).orderBy("at").toPandas()
     fit_in = sizes["at"][sizes["n"].cumsum() <= max_buckets]
-    got = made.filter(F.xxhash64("id") <= int(fit_in.iloc[-1]) if len(fit_in) else F.lit(False)).toArrow()
+    taken = made.filter(F.xxhash64("id") <= int(fit_in.iloc[-1]) if len(fit_in) else F.lit(False))
+    got = _telling(taken, buckets).toArrow()
     forget(made)
     order = np.argsort(got["id"].to_numpy(), kind="stable")
     return got.take(pa.array(order))
 
 
+def _telling(taken: DataFrame, buckets: int) -> DataFrame:
+    """``taken`` with only the buckets that :func:`fit` keeps, so that the others never reach the driver.  Rows are counted a
+    bucket by Spark; the counts are two numbers a bucket."""
+    n, toxic = taken.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    each = taken.select("toxic", F.explode(F.array_distinct("plain")).alias("f")).groupBy("f")
+    counts = each.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic")).toArrow()
+    keep, f = np.zeros(buckets, bool), counts["f"].to_numpy()
+    keep[f] = _tells(counts["n"].to_numpy().astype(float), counts["toxic"].to_numpy().astype(float), toxic / n if n else 0.0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = [pa.array([[x for x in row if keep[x]] for row in b.column(k).to_pylist()], pa.list_(pa.int32())) for k in ("plain", "minus", "plus")]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("toxic"), *kept], names=b.schema.names)
+
+    return taken.mapInArrow(run, taken.schema)
+
+
+def _tells(all_n: np.ndarray, toxic_n: np.ndarray, share: float, least: int = 5, least_z: float = 3.0) -> np.ndarray:
+    """Which buckets ``least`` rows have whose share among toxic rows differs from that among the others by ``least_z`` standard errors."""
+    z = (toxic_n - all_n * share) / np.sqrt(np.maximum(all_n * share * (1 - share), 1e-9))
+    return (all_n >= least) & (np.abs(z) >= least_z)
+
+
 def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers and buckets of a list column."""
     array = lists.combine_chunks()
@@ -150,9 +174,7 @@ def fit(y: np.ndarray, plain: tuple, minus: tuple, plus: tuple, buckets: int, pe
         seen = np.unique(rows[part].astype(np.int64) * buckets + cols[part])
         all_n += np.bincount(seen % buckets, minlength=buckets)
         toxic_n += np.bincount(seen % buckets, weights=y[seen // buckets], minlength=buckets)
-    share = y.mean()
-    z = (toxic_n - all_n * share) / np.sqrt(np.maximum(all_n * share * (1 - share), 1e-9))
-    kept = np.flatnonzero((all_n >= least) & (np.abs(z) >= least_z))
+    kept = np.flatnonzero(_tells(all_n, toxic_n, y.mean(), least, least_z))
     place = np.full(buckets, -1, np.int32)
     place[kept] = np.arange(len(kept))
 
