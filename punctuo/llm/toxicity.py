@@ -217,7 +217,7 @@ def train(
     penalty: float = 1.0,
 ) -> Model:
     """Fit on labelled rows whose crc32(doc_id) mod 5 is not 0: at most ``max_rows``, and ``max_buckets`` buckets of their
-    words (4 bytes each on the driver), the documented bounds.
+    words (4 bytes each, if the fit keeps them all), the documented bounds.
 
     A label that is null takes no part; of several labels of a doc_id the largest counts; rows of a repeated doc_id are
     all learned from, those of a null one are not.  Without labels the model is a constant.
