@@ -8,9 +8,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from punctuo.llm.common import cut, forget
@@ -27,6 +27,11 @@ BROADCAST_IDS = 200_000
 SMALL, BLOCK = 8, 256
 #: Rounds of chains at most, each of four pairs a set; what they leave is compared in full.
 CHAINED = 3
+#: Sets of one ``main`` are compared in full at once if that sends each of them no more often than this: about what a round
+#: of chains sends.
+AT_ONCE = 8
+#: Buckets of the sketches that are asked first.
+COARSE = 64
 
 
 def size_bands(size: int, percent: int, step: float) -> list[tuple[int, int]]:
@@ -246,10 +251,29 @@ def _indexed(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
     )
 
 
+def _with_coarse(known: DataFrame) -> DataFrame:
+    """``known`` (set_id, size, rep, sketch) with coarse: the sketch in at most COARSE buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            whole = [np.frombuffer(x, np.uint8) for x in b.column("sketch").to_pylist()]
+            coarse = [np.minimum(folded(x, min(COARSE, len(x))), 255).astype(np.uint8).tobytes() for x in whole]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(coarse, pa.binary())], names=[*b.schema.names, "coarse"])
+
+    return known.mapInArrow(run, StructType([*known.schema.fields, StructField("coarse", BinaryType())]))
+
+
 def _promising(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (a, b: set ids) without those whose sizes and sketches rule a link out."""
-    left = known.select(F.col("set_id").alias("a"), F.col("size").alias("size_a"), F.col("sketch").alias("sketch_a"))
-    right = known.select(F.col("set_id").alias("b"), F.col("size").alias("size_b"), F.col("sketch").alias("sketch_b"))
+    """``pairs`` (a, b: set ids) without those whose sizes and sketches rule a link out.
+
+    Coarse sketches are asked first, so that the whole ones, a byte a shingle, travel with fewer pairs.
+    """
+    return _allowed(_allowed(pairs, known, "coarse", percent), known, "sketch", percent)
+
+
+def _allowed(pairs: DataFrame, known: DataFrame, sketch: str, percent: int) -> DataFrame:
+    left = known.select(F.col("set_id").alias("a"), F.col("size").alias("size_a"), F.col(sketch).alias("sketch_a"))
+    right = known.select(F.col("set_id").alias("b"), F.col("size").alias("size_b"), F.col(sketch).alias("sketch_b"))
     fit = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
     rows = pairs.join(left, "a").join(right, "b").filter(fit)
 
@@ -291,7 +315,7 @@ def link(
     Equal shingle sets are one set.  Sets meet under the signatures of :class:`Index`.  A signature of few sets gives all
     its pairs; one of more gives some pairs of each set, with the smallest and in random chains, which joins groups of near
     copies without listing their pairs.  Then, for every signature whose sets still lie in several components,
-    blocks of its sets are compared across components.  So every link either is found or lies within a component, and
+    blocks of its sets are compared across components, after further chains where there are many blocks.  So every link either is found or lies within a component, and
     component ids are exact.  Pairs whose sketches differ too much are dropped before their sets are read; the others are
     verified shingle by shingle.  Shingles and sets are compared by 64-bit hashes.
 
@@ -321,38 +345,44 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
     sets = ids.groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     meeting = shared.select("set_id").distinct()
     known = ids.join(meeting, "set_id", "left_semi").groupBy("set_id", F.col("n_shingles").alias("size"))
-    known = cut(known.agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "jaccard-known")
+    known = cut(_with_coarse(known.agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))), "jaccard-known")
     repeated = rows.groupBy("doc_id").count().filter("doc_id is not null and count > 1").limit(1).count() > 0
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        near = cut(_promising(pairs, known, percent), "jaccard-pairs")
+    def linked(near: DataFrame) -> DataFrame:
+        near = cut(near, "jaccard-pairs")
         held = _shingled(docs, id_col, text_col, near, known, n, repeated)
         found = cut(_verified(near, held, percent), "jaccard-links")
         forget(held, near)
         return found
 
     first = cut(_few(shared).unionByName(_chained(shared)).distinct(), "jaccard-first")
-    links = linked(first)
+    links = linked(_promising(first, known, percent))
     joined = components(links)
 
-    # What is left of signatures with many sets is chained as long as that joins some (CHAINED times at most), then
-    # compared across components.
-    rest, tried, used = _open(shared.filter(F.col("sets") > SMALL), joined, known), first, [shared, first, links]
-    for turn in range(CHAINED + 1):
-        before, rest = rest, cut(_still_open(rest, joined), "jaccard-still")
-        forget(before)
-        if turn == CHAINED or rest.isEmpty():
-            break
-        near = _chains(rest, "main", 4 * turn).join(tried, ["a", "b"], "left_anti").distinct()
-        near = cut(near, "jaccard-tried")
-        found = linked(near)
-        tried, used = tried.unionByName(near), [*used, near, found]
-        if found.isEmpty():
-            break
-        joined = _wider(joined, found)
-    second = linked(_many(rest, percent).join(tried, ["a", "b"], "left_anti"))
+    # Signatures with many sets: where blocks of a main would be many, it is chained as long as that joins some (CHAINED
+    # times at most).  What is left is compared across components, by the components that it was last looked up in.
+    rest = _open(shared.filter(F.col("sets") > SMALL), joined)
+    still = cut(_still_open(rest, joined), "jaccard-still")
+    forget(rest)
+    tried, used, ready = first, [shared, first, links, still], still.filter(~_dear())
+    large = still.filter(_dear())
+    if not large.isEmpty():
+        own = cut(known.join(large.select("set_id").distinct(), "set_id", "left_semi"), "jaccard-large")
+        used.append(own)
+        for turn in range(CHAINED):
+            near = cut(_chains(large, "main", 4 * turn).join(tried, ["a", "b"], "left_anti").distinct(), "jaccard-tried")
+            found = linked(_promising(near, own, percent))
+            tried, used = tried.unionByName(near), [*used, near, found]
+            if found.isEmpty():
+                break
+            joined = _wider(joined, found)
+            still = cut(_still_open(large, joined), "jaccard-still")
+            used, ready, large = [*used, still], ready.unionByName(still.filter(~_dear())), still.filter(_dear())
+            if large.isEmpty():
+                break
+    second = linked(_many(ready.unionByName(large), known, percent).join(tried, ["a", "b"], "left_anti"))
     joined = _wider(joined, second)
-    forget(*used, rest, second)
+    forget(*used, second)
     at = sets.join(joined.toDF("set_id", "component"), "set_id", "left")
     at = at.select("set_id", "rep", F.coalesce("component", "set_id").alias("component"))
     named = at.join(at.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("set_id", "component_id")
@@ -413,26 +443,29 @@ def _chains(of: DataFrame, group: str, first: int = 0, chains: int = 4) -> DataF
     return both.select(F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b"))
 
 
-def _open(shared: DataFrame, joined: DataFrame, known: DataFrame) -> DataFrame:
-    """The sets of signatures that lie in several components, by the least component of their signature.
-
-    main, set_id, component, size, sketch.
-    """
+def _open(shared: DataFrame, joined: DataFrame) -> DataFrame:
+    """The sets of signatures that lie in several components, by the least component of their signature: main, set_id."""
     labels = joined.withColumnRenamed("node", "set_id")
     at = shared.select("signature", "set_id").join(labels, "set_id", "left")
     at = at.select("signature", "set_id", F.coalesce("component", "set_id").alias("component"))
     several = at.groupBy("signature").agg(F.min("component").alias("main"), F.max("component").alias("last"))
-    at = at.join(several.filter("main <> last").select("signature", "main"), "signature").select("main", "set_id", "component").distinct()
-    return cut(at.join(known.select("set_id", "size", "sketch"), "set_id"), "jaccard-open")
+    several = several.filter("main <> last").select("signature", "main")
+    return cut(at.join(several, "signature").select("main", "set_id").distinct(), "jaccard-open")
+
+
+def _dear() -> Column:
+    """Whether the blocks of a ``main`` would send its sets more than AT_ONCE times on average."""
+    lots = lambda n: F.ceil(F.col(n) / BLOCK)
+    return lots("sets") * F.col("others") + lots("others") * F.col("sets") > AT_ONCE * F.col("sets")
 
 
 def _still_open(rest: DataFrame, joined: DataFrame) -> DataFrame:
     """``rest`` with the components of now; home: the component that ``main`` lies in; sets, others: how many ``main`` has
     in all and outside that component, if any.  What is closed stays so, so each turn starts from what the last one left.
 
-    Homes are looked up once a ``main`` and counted by its components, not once a set.
+    Homes are looked up once a ``main`` and counted by its components, not once a set.  Sketches stay behind.
     """
-    at = rest.select("main", "set_id", "size", "sketch").join(joined.toDF("set_id", "component"), "set_id", "left")
+    at = rest.select("main", "set_id").join(joined.toDF("set_id", "component"), "set_id", "left")
     at = at.withColumn("component", F.coalesce("component", "set_id"))
     parts = at.groupBy("main", "component").agg(F.count(F.lit(1)).alias("n"))
     homes = parts.select("main").distinct().join(joined.toDF("main", "home"), "main", "left")
@@ -464,7 +497,7 @@ def near_by_sketch(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> tup
     return np.concatenate(rows), np.concatenate(cols)
 
 
-def _many(members: DataFrame, percent: int) -> DataFrame:
+def _many(members: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Pairs across components that sizes and sketches allow, among the sets of one ``main``: a, b.
 
     The sets outside the main component meet all its sets, in blocks of about BLOCK of either; a task compares sketches
@@ -473,7 +506,7 @@ def _many(members: DataFrame, percent: int) -> DataFrame:
     lot = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     place = lambda n, seed: F.pmod(F.xxhash64("set_id", F.lit(seed)), lot(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), lot(n) - 1))
-    row = ["main", "set_id", "component", "home", "size", "sketch"]
+    row = ["main", "set_id", "component", "home"]
     asking = members.filter("component <> home").select(*row, place("others", 7).alias("i"), every("sets").alias("j"), F.lit(0).alias("side"))
     asked = members.select(*row, every("others").alias("i"), place("sets", 5).alias("j"), F.lit(1).alias("side"))
 
@@ -485,7 +518,8 @@ def _many(members: DataFrame, percent: int) -> DataFrame:
         x, y = x[inner | (x < y)], y[inner | (x < y)]
         return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
 
-    return asking.unionByName(asked).groupBy("main", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    rows = asking.unionByName(asked).join(known.select("set_id", "size", "sketch"), "set_id")
+    return rows.groupBy("main", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
 def _shingled(
