@@ -6,6 +6,9 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Of files of calls and trains, what one task joins and numbers (with copies, sorts and maps it takes a hundredfold in memory).
+PART_BYTES = 2_000_000
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 #: View by name, in order of use.  {WD:x} is the weekday of x from 0 = Monday; {K} is the number in an event's props.
@@ -125,10 +128,25 @@ class Views:
             found = {w for w in re.findall(r"\w+", todo.pop()) if w in VIEWS or w in TABLES} - wanted
             wanted |= found
             todo += [self.texts[w] for w in found if w in VIEWS]
-        parts = [f"{t} AS (SELECT * FROM parquet.`{self.sf_dir}/{t}.parquet`)" for t in TABLES if t in wanted]
+        dealt = self._dealt() if {"journey_calls", "lineitem", "orders"} <= wanted else ""
+        parts = [f"{t} AS (SELECT {dealt if t == 'lineitem' else ''}* FROM parquet.`{self.sf_dir}/{t}.parquet`)" for t in TABLES if t in wanted]
         parts += [f"{name} AS ({_spark(view)})" for name, view in self.texts.items() if name in wanted]
         return self.spark.sql("WITH " + ",\n".join(parts) + "\n" + _spark(text))
 
+    def _dealt(self) -> str:
+        """A hint that deals calls by train into more parts than a shuffle has, if those would be over PART_BYTES.
+
+        The join and the numbering of calls sort by train, and a sort holds what memory there is, so a task's memory grows
+        with the input unless the parts do.
+        """
+        n = -(-sum(self._size(t) for t in ("lineitem", "orders")) // PART_BYTES)
+        return f"/*+ REPARTITION({n}, l_orderkey) */ " if n > int(self.spark.conf.get("spark.sql.shuffle.partitions")) else ""
+
+    def _size(self, table: str) -> int:
+        """Bytes of a table's files."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/{table}.parquet")
+        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).getContentSummary(path).getLength()
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in VIEWS and name not in TABLES:
             raise AttributeError(name)
